@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, hilbert, mixing
+from . import common, hilbert, mixing, simhash
 
 DOC_CELLS_BITS = 7
 
@@ -43,8 +43,13 @@ def op4_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op2_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' SimHash of 4-word shingles and their components at 4 bits or fewer."""
+    return simhash.near_duplicates(common.table(spark, sf_dir, "documents"), words=4, errors=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_shards, op4_systematic_mix)}
+    return {f.__name__: f for f in (op1_hilbert_shards, op2_simhash_trie, op4_systematic_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
