@@ -64,6 +64,7 @@ def ranked(df: DataFrame, order: list[Column], group: str | None = None, rank: s
     """
     keys = ([F.col(group).asc_nulls_first()] if group else []) + order
     at = "__at"
+    df = checkpoint(df)  # dealing by range reads the rows twice, first for a sample
     dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id())
     dealt = checkpoint(dealt)
     part = F.shiftright(F.col(at), 33)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, hilbert, mixing, simhash
+from . import common, hilbert, mixing, packing, quality, simhash, tokenfiles, urlfilter
 
 DOC_CELLS_BITS = 7
 
@@ -48,8 +48,50 @@ def op2_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.table(spark, sf_dir, "documents"), words=4, errors=4)
 
 
+def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' rule measurements, failure bits and the current policy's verdict."""
+    entries = quality.ledger(common.table(spark, sf_dir, "documents"))
+    return entries.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~quality.BASE.kept(F.col("failed"))).alias("base_failed"), quality.CURRENT.kept(F.col("failed")).alias("kept"), "failed",
+    )
+
+
+def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, tokenised, cut and packed into sequences of 1024 ids."""
+    return packing.pack_documents(common.table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 1024, 2)
+
+
+#: Verdict, host and path.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op9_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL."""
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    return urlfilter.judge(common.table(spark, sf_dir, "pages"), rules)
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids, written to flat files in order of doc_id and read back from them."""
+    folder = common.new_folder(spark, "tokens")
+    manifest = tokenfiles.write(common.table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), folder)
+    return tokenfiles.read(manifest)
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+OPERATORS = (
+    op1_hilbert_shards, op2_simhash_trie, op4_systematic_mix, op6_rule_ledger, op8_best_fit, op9_url_trie, op10_token_files,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_shards, op2_simhash_trie, op4_systematic_mix)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
