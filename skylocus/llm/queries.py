@@ -131,9 +131,16 @@ def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OPERATORS = (
     op1_hilbert_shards, op2_simhash_trie, op3_warc_normaliser, op4_systematic_mix, op5_context_tree, op6_rule_ledger,
-    op7_audio_features, op8_best_fit, op9_url_trie, op10_token_files,
+    op7_audio_features, op8_best_fit, op9_url_trie, op10_token_files, pipeline,
 )
 
 
