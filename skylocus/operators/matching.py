@@ -1,0 +1,96 @@
+"""Matchers: what turns two images into correspondences, and the registry of them by name."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Similarities are rounded to this many digits before they are ranked, so that ties are ties everywhere.
+DIGITS = 4
+#: Entries of the similarity matrix held at a time.
+BLOCK = 1 << 22
+
+Matcher = Callable[..., DataFrame]
+_MATCHERS: dict[str, Matcher] = {}
+
+
+def register(name: str) -> Callable[[Matcher], Matcher]:
+    def put(matcher: Matcher) -> Matcher:
+        _MATCHERS[name.lower()] = matcher
+        return matcher
+
+    return put
+
+
+def create(name: str) -> Matcher:
+    """A matcher by name, in any case. Neural ones can be registered where their libraries are."""
+    if name.lower() not in _MATCHERS:
+        raise ValueError(f"unknown matcher {name!r}; there are {sorted(_MATCHERS)}")
+    return _MATCHERS[name.lower()]
+
+
+@register("mutual_nn")
+def mutual_nearest(frames: DataFrame, tiles: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs of descriptors that are each other's most similar within a pair of images: ``by``, ``id0``, ``id1``, ``score``.
+
+    Both sides have the columns ``by``, ``id`` and ``descriptor``; a group has the
+    keypoints of one image, whose number extraction bounds. Similarities (dot products,
+    rounded) are computed in blocks of rows; ties go to the smaller id.
+    """
+    kinds = [f"`{c}` {frames.schema[c].dataType.simpleString()}" for c in by]
+
+    def match(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        columns = [*by, "id0", "id1", "score"]
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=columns)
+        left, right = left.sort_values("id"), right.sort_values("id")
+        a, b = (np.stack(x["descriptor"].to_list()).astype(np.float64) for x in (left, right))
+        n, m = len(a), len(b)
+        to_right, score = np.zeros(n, np.int64), np.zeros(n)
+        to_left, top = np.zeros(m, np.int64), np.full(m, -np.inf)
+        step = max(1, BLOCK // m)
+        for at in range(0, n, step):
+            s = np.round(a[at : at + step] @ b.T, DIGITS)
+            to_right[at : at + step] = s.argmax(1)
+            score[at : at + step] = s.max(1)
+            high, where = s.max(0), s.argmax(0) + at
+            to_left = np.where(high > top, where, to_left)
+            top = np.maximum(high, top)
+        own = np.flatnonzero(to_left[to_right] == np.arange(n))
+        out = pd.DataFrame({"id0": left["id"].to_numpy()[own], "id1": right["id"].to_numpy()[to_right[own]], "score": score[own]})
+        for c, v in zip(by, key, strict=True):
+            out[c] = v
+        return out[columns]
+
+    return frames.groupBy(*by).cogroup(tiles.groupBy(*by)).applyInPandas(match, ", ".join([*kinds, "id0 long", "id1 long", "score double"]))
+
+
+@register("oracle")
+def oracle(pairs: DataFrame, n_points: int = 200, outliers: float = 0.25, sigma: float = 0.0, width: int = 1920, height: int = 1080, tile: int = 512) -> DataFrame:
+    """Correspondences made from a known homography ``h`` of each row of ``pairs``; where it is null, noise.
+
+    Every number comes from a hash of the pair, the point and ``noise`` (a column), so
+    that the result doesn't depend on the partitioning.
+    """
+    from skylocus.functions import geometry as G
+
+    def uniform(tag: str):
+        hashed = F.xxhash64(F.lit(tag), F.col("frame_id"), F.col("tile_id"), F.col("idx"), F.col("noise"))
+        return F.pmod(hashed, F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+    out = pairs.withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(n_points - 1))))
+    out = out.withColumn("x0", uniform("x0") * (width - 1)).withColumn("y0", uniform("y0") * (height - 1))
+    x, y = G.project_or_origin(F.col("h"), F.col("x0"), F.col("y0"))
+    stray = F.col("h").isNull() | (uniform("stray") < outliers)
+    # the sum of three uniform numbers less its mean has a variance of 1/4
+    jitter = lambda t: 2 * sigma * (uniform(t + "a") + uniform(t + "b") + uniform(t + "c") - 1.5)
+    return out.select(
+        "frame_id", "tile_id", "idx", "x0", "y0",
+        F.when(stray, uniform("x1") * (tile - 1)).otherwise(x + jitter("x")).alias("x1"),
+        F.when(stray, uniform("y1") * (tile - 1)).otherwise(y + jitter("y")).alias("y1"),
+        F.lit(1.0).cast("float").alias("conf"),
+    )
