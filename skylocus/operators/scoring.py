@@ -66,13 +66,17 @@ def rank(evaluated: DataFrame, by: list[str], ties: list[str], k: int | None = N
 
 
 def winners(evaluated: DataFrame, by: list[str], ties: list[str]) -> DataFrame:
-    """The best candidate of each group that has one that passed."""
-    return rank(evaluated.filter("passed"), by, ties, 1)
+    """The best candidate of each group that has one that passed.
+
+    Those that passed rank first, so the filter can follow: pushed below, it would
+    repeat the whole expression of the gate.
+    """
+    return rank(evaluated, by, ties, 1).filter("passed")
 
 
 def margin(evaluated: DataFrame, by: list[str], ties: list[str]) -> DataFrame:
     """For each group's winner its score over that of the next that passed (null without one, or at zero)."""
-    first_two = rank(evaluated.filter("passed"), by, ties, 2)
+    first_two = rank(evaluated, by, ties, 2).filter("passed")
     at = lambda k: F.max(F.when(F.col("rank") == k, F.col("score")))
     return first_two.groupBy(*by).agg(at(1).alias("best"), at(2).alias("second")).withColumn(
         "margin", F.when(F.col("second") > 0, F.col("best") / F.when(F.col("second") > 0, F.col("second")))
