@@ -93,7 +93,7 @@ def write(decided: DataFrame, folder: str, level: int = 6) -> DataFrame:
                 if out is None:
                     uri, n, size = files.fresh(folder, f"pages-{TaskContext.get().partitionId():05d}", ".warc.gz"), 0, 0
                     system, path = files.resolve(uri)
-                    out, gzip = system.open_output_stream(path), zlib.compressobj(level, zlib.DEFLATED, 31)
+                    out, gzip = system.open_output_stream(path, compression=None), zlib.compressobj(level, zlib.DEFLATED, 31)
                     info = b"software: skylocus\r\n"
                     out.write(gzip.compress(head([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:archive:{uri.rpartition('/')[2]}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], len(info)) + info + b"\r\n\r\n"))
                 out.write(gzip.compress(page_record(page_id, url, payload, base32(digest), refers_to)))
@@ -130,15 +130,15 @@ class Inflated:
                 self.gzip, self.begun = zlib.decompressobj(31), False
             elif not data:
                 data = self.source.read(CHUNK)
-                if not data:
-                    if self.begun:
-                        raise EOFError("the gzip stream is cut off")
+                if not data and not self.begun:
                     return False
             self.begun = True
             out = self.gzip.decompress(data, CHUNK)
             if out:
                 self.buffer += out
                 return True
+            if not data and not self.gzip.eof:
+                raise EOFError("the gzip stream is cut off")
 
     def until(self, mark: bytes) -> bytes | None:
         """All up to and with ``mark``; None at the end of the file."""
