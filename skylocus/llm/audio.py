@@ -80,7 +80,10 @@ def filter_phases(up: int, down: int, taps: int) -> np.ndarray:
 
 
 def resample(x: np.ndarray, up: int, down: int, taps: int) -> np.ndarray:
-    """``x`` at ``up / down`` times its rate: each output takes one phase of the filter, and no zeros are multiplied."""
+    """``x`` at ``up / down`` times its rate: each output takes one phase of the filter, and no zeros are multiplied.
+
+    With an even number of taps the filter's middle lies between two samples, and the result is half an input sample late.
+    """
     if up == down or not len(x):
         return x
     phases = filter_phases(up, down, taps)
