@@ -1,0 +1,135 @@
+"""Images as rows: decoded by Spark's image source, blended, resized and cropped in Arrow batches, and written as PNG."""
+
+from __future__ import annotations
+
+import struct
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Output rows of pixels are made in batches of so many bytes at most, a row at least.
+BATCH_BYTES = 32 << 20
+
+
+def blend(rgba: np.ndarray, background: tuple[int, int, int] = (255, 255, 255)) -> np.ndarray:
+    """An RGBA image on a background; an opaque one keeps its pixels."""
+    if rgba.ndim != 3 or rgba.shape[2] != 4:
+        raise ValueError("blending takes four channels")
+    alpha = rgba[..., 3:].astype(np.float32) / np.float32(255)
+    if (alpha == 1).all():
+        return rgba[..., :3].copy()
+    mixed = alpha * rgba[..., :3] + (1 - alpha) * np.array(background, np.float32)
+    return np.clip(np.rint(mixed), 0, 255).astype(np.uint8)
+
+
+def to_rgb(pixels: np.ndarray, background: tuple[int, int, int] = (255, 255, 255)) -> np.ndarray:
+    """Gray, BGR or BGRA, as decoded, to RGB."""
+    if pixels.ndim == 2:
+        pixels = pixels[..., None]
+    channels = pixels.shape[2]
+    if channels == 1:
+        return np.repeat(pixels, 3, axis=2)
+    if channels == 3:
+        return pixels[..., ::-1].copy()
+    if channels == 4:
+        return blend(pixels[..., [2, 1, 0, 3]], background)
+    raise ValueError(f"an image of {channels} channels")
+
+
+def to_gray(rgb: np.ndarray) -> np.ndarray:
+    return np.rint(rgb @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)
+
+
+def _area_weights(n: int, m: int) -> np.ndarray:
+    """Shares of n input pixels in m output pixels that cover them."""
+    edges = np.arange(m + 1) * (n / m)
+    low, high = edges[:-1, None], edges[1:, None]
+    k = np.arange(n)
+    share = np.clip(np.minimum(high, k + 1) - np.maximum(low, k), 0, None)
+    return share / share.sum(1, keepdims=True)
+
+
+def _linear_weights(n: int, m: int) -> np.ndarray:
+    """Weights of the two input pixels whose centres enclose an output pixel's."""
+    at = np.clip((np.arange(m) + 0.5) * (n / m) - 0.5, 0, n - 1)
+    low = np.minimum(at.astype(int), max(0, n - 2))
+    out = np.zeros((m, n))
+    out[np.arange(m), low] = 1 - (at - low)
+    out[np.arange(m), np.minimum(low + 1, n - 1)] += at - low
+    return out
+
+
+def resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
+    """To another size: by area where both sides shrink, else bilinear; one axis after the other."""
+    h, w = image.shape[:2]
+    if (w, h) == (width, height):
+        return image
+    weights = _area_weights if width < w and height < h else _linear_weights
+    out = np.tensordot(weights(h, height), image.astype(np.float64), 1)
+    out = np.moveaxis(np.tensordot(weights(w, width), out, (1, 1)), 0, 1)
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+
+def png(image: np.ndarray) -> bytes:
+    """An 8-bit gray, RGB or RGBA image as PNG."""
+    h, w = image.shape[:2]
+    kind = {1: 0, 3: 2, 4: 6}[1 if image.ndim == 2 else image.shape[2]]
+    lines = np.ascontiguousarray(image).reshape(h, -1)
+    raw = np.concatenate([np.zeros((h, 1), np.uint8), lines], axis=1).tobytes()
+
+    def chunk(name: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def read_images(spark: SparkSession, path: str, background: tuple[int, int, int] = (255, 255, 255)) -> DataFrame:
+    """``origin``, ``width``, ``height``, ``source_channels``, ``had_alpha`` and ``rgb`` (bytes) of the images at a path.
+
+    A missing path raises, and so does a file that Spark can't decode.
+    """
+    rows = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {name: batch.column(name)[k] for name in batch.schema.names}
+                w, h, c = (row[x].as_py() for x in ("width", "height", "nChannels"))
+                if h <= 0 or w <= 0:
+                    raise RuntimeError(f"can't decode {row['origin'].as_py()}")
+                pixels = np.frombuffer(row["data"].as_buffer(), np.uint8).reshape(h, w, c)
+                rgb = to_rgb(pixels, background).tobytes()
+                yield pa.RecordBatch.from_pylist([{"origin": row["origin"].as_py(), "width": w, "height": h, "source_channels": c, "had_alpha": c == 4, "rgb": rgb}], schema=schema)
+
+    schema = pa.schema([("origin", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("source_channels", pa.int32()), ("had_alpha", pa.bool_()), ("rgb", pa.binary())])
+    return rows.mapInArrow(run, "origin string, width int, height int, source_channels int, had_alpha boolean, rgb binary")
+
+
+def cut_tiles(tiles: DataFrame, map_rgb: bytes, width: int, height: int) -> DataFrame:
+    """The registry's tiles with their pixels as ``png``. The map's decoded bytes are broadcast: three for each pixel of one map."""
+    if len(map_rgb) != 3 * width * height:
+        raise ValueError(f"{len(map_rgb)} bytes aren't an RGB map of {width} x {height}")
+    shared = tiles.sparkSession.sparkContext.broadcast(map_rgb)
+    columns = tiles.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pixels = np.frombuffer(shared.value, np.uint8).reshape(height, width, 3)
+        for batch in batches:
+            for row in batch.to_pylist():
+                x, y, w, h = (row[c] for c in ("x_origin", "y_origin", "width", "height"))
+                crop = pixels[y : y + h, x : x + w]
+                if crop.shape != (h, w, 3):
+                    raise RuntimeError(f"tile {row['tile_id']} isn't inside the map")
+                yield pa.RecordBatch.from_pylist([{**row, "png": png(crop)}], schema=batch.schema.append(pa.field("png", pa.binary())))
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in tiles.schema.fields]
+    return tiles.select(*columns).mapInArrow(run, ", ".join([*fields, "png binary"]))
+
+
+def channel_summary(images: DataFrame) -> DataFrame:
+    """Sizes and channels of images, counted: an audit of a folder."""
+    return images.groupBy("width", "height", "source_channels").agg(F.count(F.lit(1)).alias("n"))
