@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skylocus.llm import common, mixing, packing, quality, simhash
+from skylocus.llm import common, mixing, packing, quality, similar
 from skylocus.llm.queries import MIX_WEIGHTS, tokenizer_path
 
-#: Words of a shingle, and bits in which linked fingerprints differ at most.
-DEDUP_WORDS, DEDUP_BITS = 5, 4
+#: Words of a shingle, similarity of near copies, and bits in which linked fingerprints differ at most.
+DEDUP_WORDS, DEDUP_SIMILARITY, DEDUP_BITS = 5, 0.8, 4
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the smallest id."""
-    return simhash.without_near_duplicates(docs, words=DEDUP_WORDS, errors=DEDUP_BITS)
+    return similar.without_similar(docs, DEDUP_WORDS, DEDUP_SIMILARITY, DEDUP_BITS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
