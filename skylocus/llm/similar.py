@@ -5,7 +5,7 @@ far beyond a budget that a trie walk can prune. So each text gets, besides that
 SimHashes of a few of its shingles, drawn min-wise: two texts draw the same shingles
 with the probability of their similarity, and then these fingerprints agree. The trie
 self-join links fingerprints, linked ones make buckets, and in each bucket the texts
-are compared with its smallest document by a signature of min-wise values. Texts that
+are compared with one of its documents by a signature of min-wise values. Texts that
 are not similar to it go on, in smaller buckets: those that also agree in some further
 values. A text that a large bucket shares a passage with so leaves it in few rounds,
 and no round compares more pairs than there are memberships.
@@ -85,7 +85,7 @@ def sketches(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str = "t
 
 
 def _compare(similarity: float, round_: int):
-    """A function for pairs (bucket, node, rep, signature, rep_signature): whether they are similar, and the smaller bucket."""
+    """A function for pairs (node, rep, signature, rep_signature): whether they are similar, and further values of the node."""
     enough = (similarity - SLACK) * VALUES
     # the values that drew the fingerprints come last
     at = (DRAWS * DRAWN + FURTHER * round_ + np.arange(FURTHER)) % VALUES
@@ -97,36 +97,50 @@ def _compare(similarity: float, round_: int):
         for batch in batches:
             own = signatures(batch.column("signature"))
             same = (own == signatures(batch.column("rep_signature"))).sum(axis=1)
-            smaller = [
-                xxhash.xxh64_intdigest(b"%d %d " % (round_, bucket) + values.tobytes()) - (1 << 63)
-                for bucket, values in zip(batch.column("bucket").to_pylist(), own[:, at], strict=True)
-            ]
-            columns = [pa.array(smaller, pa.int64()), batch.column("node"), batch.column("rep"), pa.array(same >= enough)]
-            yield pa.RecordBatch.from_arrays(columns, ["bucket", "node", "rep", "similar"])
+            further = (own[:, at].astype(np.int64) << (16 * np.arange(FURTHER))).sum(axis=1)
+            columns = [batch.column("node"), batch.column("rep"), pa.array(same >= enough), pa.array(further)]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "rep", "similar", "further"])
 
     return run
 
 
+def _with_reps(members: DataFrame) -> DataFrame:
+    """``bucket``, ``node`` and ``rep`` of the members of buckets of two or more, but for the rep's own.
+
+    The rep is the member that shares its buckets with most: the text that copies were made from, where it is there.
+    """
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    crowded = common.checkpoint(members.join(sizes, "bucket"))
+    shared = crowded.groupBy("node").agg(F.sum("n").alias("shared"))
+    first = F.struct(F.col("shared"), -F.col("node"))
+    reps = crowded.join(shared, "node").groupBy("bucket").agg(F.max_by("node", first).alias("rep"))
+    return crowded.join(reps, "bucket").filter("node <> rep").select("bucket", "node", "rep")
+
+
 def similar_links(classes: DataFrame, similarity: float, errors: int = 4) -> DataFrame:
     """Links (u, v) between similar ``node`` rows of ``classes`` (node, signature, prints)."""
     rows = classes.select("node", F.explode("prints").alias("fingerprint"))
     roots = simhash.components(simhash.links(common.checkpoint(rows.select("fingerprint").distinct()), errors))
     roots = roots.withColumnRenamed("node", "fingerprint")
     members = rows.join(roots, "fingerprint", "left").select(F.coalesce("root", "fingerprint").alias("bucket"), "node").distinct()
+    signature = classes.select("node", "signature")
     found: DataFrame | None = None
     for round_ in range(VALUES):
-        least = members.groupBy("bucket").agg(F.min("node").alias("rep"), F.max("node").alias("last")).filter("rep < last").drop("last")
-        pairs = members.join(least, "bucket").filter("node <> rep")
-        # a pair that meets in several buckets is compared in each: the buckets part differently
-        signature = classes.select("node", "signature")
+        meetings = common.checkpoint(_with_reps(members))
+        if meetings.isEmpty() and found is not None:
+            break
+        # a pair that meets in several buckets is compared once
+        pairs = meetings.select("node", "rep").distinct()
+        # only signatures of texts that are in a bucket with others go on
+        live = pairs.select("node").unionByName(pairs.select(F.col("rep").alias("node"))).distinct()
+        signature = common.checkpoint(signature.join(live, "node", "left_semi"))
         pairs = pairs.join(signature, "node").join(signature.withColumnsRenamed({"node": "rep", "signature": "rep_signature"}), "rep")
-        pairs = pairs.select("bucket", "node", "rep", "signature", "rep_signature")
-        compared = common.checkpoint(pairs.mapInArrow(_compare(similarity, round_), "bucket long, node long, rep long, similar boolean"))
+        pairs = pairs.select("node", "rep", "signature", "rep_signature")
+        compared = common.checkpoint(pairs.mapInArrow(_compare(similarity, round_), "node long, rep long, similar boolean, further long"))
         links = compared.filter("similar").select(F.col("node").alias("u"), F.col("rep").alias("v"))
         found = links if found is None else found.unionByName(links)
-        members = compared.filter("NOT similar").select("bucket", "node").distinct()
-        if members.isEmpty():
-            break
+        apart = meetings.join(compared.filter("NOT similar").select("node", "rep", "further"), ["node", "rep"])
+        members = apart.select(F.xxhash64("bucket", "further", F.lit(round_)).alias("bucket"), "node").distinct()
     return found
 
 
