@@ -4,11 +4,10 @@ The SimHash of a whole text differs in some ten bits between texts of similarity
 far beyond a budget that a trie walk can prune. So each text gets, besides that one,
 SimHashes of a few of its shingles, drawn min-wise: two texts draw the same shingles
 with the probability of their similarity, and then these fingerprints agree. The trie
-self-join links fingerprints, linked ones make buckets, and in each bucket the texts
-are compared with one of its documents by a signature of min-wise values. Texts that
-are not similar to it go on, in smaller buckets: those that also agree in some further
-values. A text that a large bucket shares a passage with so leaves it in few rounds,
-and no round compares more pairs than there are memberships.
+self-join links fingerprints, linked ones make buckets, and in each bucket all texts
+are compared with one another by signatures of min-wise values, but for pairs that
+others have joined already. A large bucket is cut into blocks, and every two blocks
+are a task of their own, so no task holds a whole bucket and no pairs become rows.
 """
 
 from __future__ import annotations
@@ -31,8 +30,8 @@ DRAWS, DRAWN = 12, 5
 VALUES = 256
 #: By how much the estimate may fall short of the similarity asked for.
 SLACK = 0.03
-#: Further values that texts of a smaller bucket agree in, for each round.
-FURTHER = 2
+#: Members of a block of a large group.
+BLOCK = 1 << 12
 #: Shingles whose values are computed at a time.
 AT_ONCE = 1 << 12
 
@@ -84,37 +83,74 @@ def sketches(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str = "t
     return rows.mapInArrow(run, "doc_id long, digest binary, signature binary, prints array<long>")
 
 
-def _compare(similarity: float, round_: int):
-    """A function for pairs (node, rep, signature, rep_signature): whether they are similar, and further values of the node."""
-    enough = (similarity - SLACK) * VALUES
-    # the values that drew the fingerprints come last
-    at = (DRAWS * DRAWN + FURTHER * round_ + np.arange(FURTHER)) % VALUES
+def reached(signatures: np.ndarray, enough: float) -> tuple[list[int], list[int]]:
+    """Links (u, v) that join what chains of rows agreeing in ``enough`` values or more join, a forest.
 
-    def signatures(column: pa.Array) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, VALUES)
+    Each row is compared with all that no chain has reached yet, so only pairs in one component are left out.
+    """
+    u, v, left = [], [], np.arange(len(signatures))
+    rows = signatures
+    while len(left):
+        queue = [int(left[0])]
+        left, rows = left[1:], rows[1:]
+        while queue and len(left):
+            x = queue.pop()
+            near = (rows == signatures[x]).sum(axis=1, dtype=np.int32) >= enough
+            if near.any():
+                found = left[near].tolist()
+                u += found
+                v += [x] * len(found)
+                queue += found
+                left, rows = left[~near], rows[~near]
+    return u, v
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """``task`` and ``node``: all pairs in each ``group`` of ``members`` (group, node, blocks) meet in a task.
+
+    A group of several blocks is dealt to tasks of two blocks each, one for every pair of blocks.
+    """
+    own = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
+    rows = members.withColumn("own", own)
+    all_others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own"))
+    rows = rows.withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(all_others)))
+    return rows.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "node")
+
+
+def _by_task(rows: DataFrame, of) -> DataFrame:
+    """Links (u, v) of ``of(values)`` for each task of ``rows`` (task, node, value); a task's rows are in one partition."""
+
+    def links_of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        task, nodes, values = rows["task"].to_numpy(), rows["node"].to_numpy(), rows["value"].to_pylist()
+        edges = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)]
+        us, vs = [], []
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            if hi - lo > 1:
+                u, v = of(values[lo:hi])
+                us.append(nodes[lo:hi][u])
+                vs.append(nodes[lo:hi][v])
+        if us:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us), pa.int64()), pa.array(np.concatenate(vs), pa.int64())], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            own = signatures(batch.column("signature"))
-            same = (own == signatures(batch.column("rep_signature"))).sum(axis=1)
-            further = (own[:, at].astype(np.int64) << (16 * np.arange(FURTHER))).sum(axis=1)
-            columns = [batch.column("node"), batch.column("rep"), pa.array(same >= enough), pa.array(further)]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "rep", "similar", "further"])
-
-    return run
-
-
-def _with_reps(members: DataFrame) -> DataFrame:
-    """``bucket``, ``node`` and ``rep`` of the members of buckets of two or more, but for the rep's own.
-
-    The rep is the member that shares its buckets with most: the text that copies were made from, where it is there.
-    """
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    crowded = common.checkpoint(members.join(sizes, "bucket"))
-    shared = crowded.groupBy("node").agg(F.sum("n").alias("shared"))
-    first = F.struct(F.col("shared"), -F.col("node"))
-    reps = crowded.join(shared, "node").groupBy("bucket").agg(F.max_by("node", first).alias("rep"))
-    return crowded.join(reps, "bucket").filter("node <> rep").select("bucket", "node", "rep")
+            if not batch.num_rows:
+                continue
+            task = batch.column("task").to_numpy()
+            # the last task of a batch may go on in the next one
+            cut = int(np.searchsorted(task, task[-1]))
+            if held and (cut or held[-1].column("task")[-1].as_py() != task[-1]):
+                yield from links_of([*held, batch.slice(0, cut)])
+                held = []
+            elif cut:
+                yield from links_of([batch.slice(0, cut)])
+            held.append(batch.slice(cut))
+        if held:
+            yield from links_of(held)
+
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "u long, v long")
 
 
 def similar_links(classes: DataFrame, similarity: float, errors: int = 4) -> DataFrame:
@@ -123,25 +159,13 @@ def similar_links(classes: DataFrame, similarity: float, errors: int = 4) -> Dat
     roots = simhash.components(simhash.links(common.checkpoint(rows.select("fingerprint").distinct()), errors))
     roots = roots.withColumnRenamed("node", "fingerprint")
     members = rows.join(roots, "fingerprint", "left").select(F.coalesce("root", "fingerprint").alias("bucket"), "node").distinct()
-    signature = classes.select("node", "signature")
-    found: DataFrame | None = None
-    for round_ in range(VALUES):
-        meetings = common.checkpoint(_with_reps(members))
-        if meetings.isEmpty() and found is not None:
-            break
-        # a pair that meets in several buckets is compared once
-        pairs = meetings.select("node", "rep").distinct()
-        # only signatures of texts that are in a bucket with others go on
-        live = pairs.select("node").unionByName(pairs.select(F.col("rep").alias("node"))).distinct()
-        signature = common.checkpoint(signature.join(live, "node", "left_semi"))
-        pairs = pairs.join(signature, "node").join(signature.withColumnsRenamed({"node": "rep", "signature": "rep_signature"}), "rep")
-        pairs = pairs.select("node", "rep", "signature", "rep_signature")
-        compared = common.checkpoint(pairs.mapInArrow(_compare(similarity, round_), "node long, rep long, similar boolean, further long"))
-        links = compared.filter("similar").select(F.col("node").alias("u"), F.col("rep").alias("v"))
-        found = links if found is None else found.unionByName(links)
-        apart = meetings.join(compared.filter("NOT similar").select("node", "rep", "further"), ["node", "rep"])
-        members = apart.select(F.xxhash64("bucket", "further", F.lit(round_)).alias("bucket"), "node").distinct()
-    return found
+    # buckets of the same texts are one group
+    sets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *(F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"set{k}") for k in (0, 1)))
+    sets = sets.filter("n > 1").select("bucket", F.xxhash64("n", "set0", "set1").alias("group"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    meetings = common.checkpoint(members.join(sets, "bucket").select("group", "blocks", "node").distinct())
+    rows = _dealt(meetings).join(classes.select("node", F.col("signature").alias("value")), "node").select("task", "node", "value")
+    enough = (similarity - SLACK) * VALUES
+    return _by_task(rows, lambda values: reached(np.frombuffer(b"".join(values), "<u2").reshape(-1, VALUES), enough))
 
 
 def without_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, errors: int = 4) -> DataFrame:

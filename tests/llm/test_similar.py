@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from skylocus.llm import similar
 
 SCHEMA = "doc_id long, text string, signature int"
@@ -67,3 +69,37 @@ def test_sketch_does_not_depend_on_the_parts(monkeypatch):
     whole = similar.sketch(text)
     monkeypatch.setattr(similar, "AT_ONCE", 13)
     assert similar.sketch(text) == whole
+
+
+def edited(words, at, n=1):
+    """The words with ``n`` new ones from position ``at`` on, apart from others by more than a shingle."""
+    out = list(words)
+    for k in range(n):
+        out[at + 6 * k] = f"new{at}x{k}"
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 12, 7])
+def test_chains_in_a_bucket_whose_rep_is_unlike_them(spark, monkeypatch, block):
+    monkeypatch.setattr(similar, "BLOCK", block, raising=False)
+    r = random.Random(3)
+    classes, chains = [], []
+    for k in range(6):
+        # all are in one bucket; each text of a chain is near to the one before only
+        texts = [[f"c{k}w{j}" for j in range(400)]]
+        for step in range(3):
+            texts.append(edited(texts[-1], 100 * step, 7))
+        names = [" ".join(t) for t in texts]
+        assert all(jaccard(a, b) >= 0.83 for a, b in zip(names, names[1:], strict=False)) and jaccard(names[0], names[2]) < 0.75
+        chains.append([100 * k + j for j in range(4)])
+        classes += zip(chains[-1], names, strict=True)
+    classes += [(-1 - k, " ".join(r.choices(names[0].split(), k=300))) for k in range(20)]
+    rows = [(i, bytearray(similar.sketch(t.encode())[1]), [5]) for i, t in classes]
+    df = spark.createDataFrame(rows, "node long, signature binary, prints array<long>")
+    links = {(x.u, x.v) for x in similar.similar_links(df, 0.8).collect()}
+    group = {i: i for i, _ in classes}
+    for _ in classes:
+        for u, v in links:
+            group[u] = group[v] = min(group[u], group[v])
+    assert [[group[i] for i in chain] for chain in chains] == [[chain[0]] * 4 for chain in chains]
+    assert all(group[-1 - k] == -1 - k for k in range(20))
