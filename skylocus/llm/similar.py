@@ -6,8 +6,9 @@ SimHashes of a few of its shingles, drawn min-wise: two texts draw the same shin
 with the probability of their similarity, and then these fingerprints agree. The trie
 self-join links fingerprints, linked ones make buckets, and in each bucket all texts
 are compared with one another by signatures of min-wise values, but for pairs that
-others have joined already. A large bucket is cut into blocks, and every two blocks
-are a task of their own, so no task holds a whole bucket and no pairs become rows.
+others have joined already. What may be similar by these is a group of candidates,
+whose texts are then all compared by their shingles themselves. A large bucket or group is cut into blocks, and every two blocks
+are a task of their own, so no task holds all of it and no pairs become rows.
 """
 
 from __future__ import annotations
@@ -26,12 +27,12 @@ from . import common, simhash
 #: Fingerprints besides the whole text's, and the shingles drawn for each: at a similarity of 0.8, a pair
 #: agrees in one with a probability of 1 - (1 - 0.8 ** 5) ** 12 = 0.99.
 DRAWS, DRAWN = 12, 5
-#: Values of a signature, 16 bits each. The similarity is estimated with a standard error of 0.025 at 0.8.
+#: Values of a signature, 8 bits each. The similarity is estimated with a standard error of 0.025 at 0.8.
 VALUES = 256
-#: By how much the estimate may fall short of the similarity asked for.
-SLACK = 0.03
-#: Members of a block of a large group.
-BLOCK = 1 << 12
+#: By how much the estimate may fall short of the similarity asked for: nearly five standard errors, as shingles are compared after it.
+SLACK = 0.12
+#: Members of a block of a large group, and bytes of their texts.
+BLOCK, BLOCK_BYTES = 1 << 12, 8 << 20
 #: Shingles whose values are computed at a time.
 AT_ONCE = 1 << 12
 
@@ -67,7 +68,7 @@ def sketch(text: bytes | None, words: int = 5) -> tuple[bytes, bytes, list[int]]
         n += len(hashes)
     bits = np.unpackbits(drawn[: DRAWS * DRAWN].astype(">u8").view(np.uint8)).reshape(DRAWS, DRAWN, simhash.BITS).sum(axis=1)
     prints = np.packbits(np.concatenate(([2 * ones > n], 2 * bits > DRAWN)), axis=1).view(">i8").ravel()
-    return hashlib.md5(b" ".join(tokens)).digest(), (least & np.uint64(0xFFFF)).astype("<u2").tobytes(), prints.tolist()
+    return hashlib.md5(b" ".join(tokens)).digest(), (least & np.uint64(0xFF)).astype(np.uint8).tobytes(), prints.tolist()
 
 
 def sketches(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -153,8 +154,8 @@ def _by_task(rows: DataFrame, of) -> DataFrame:
     return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "u long, v long")
 
 
-def similar_links(classes: DataFrame, similarity: float, errors: int = 4) -> DataFrame:
-    """Links (u, v) between similar ``node`` rows of ``classes`` (node, signature, prints)."""
+def candidate_links(classes: DataFrame, similarity: float, errors: int = 4) -> DataFrame:
+    """Links (u, v) that join the ``node`` rows of ``classes`` (node, signature, prints) that meet and may be similar, by their signatures."""
     rows = classes.select("node", F.explode("prints").alias("fingerprint"))
     roots = simhash.components(simhash.links(common.checkpoint(rows.select("fingerprint").distinct()), errors))
     roots = roots.withColumnRenamed("node", "fingerprint")
@@ -165,22 +166,77 @@ def similar_links(classes: DataFrame, similarity: float, errors: int = 4) -> Dat
     meetings = common.checkpoint(members.join(sets, "bucket").select("group", "blocks", "node").distinct())
     rows = _dealt(meetings).join(classes.select("node", F.col("signature").alias("value")), "node").select("task", "node", "value")
     enough = (similarity - SLACK) * VALUES
-    return _by_task(rows, lambda values: reached(np.frombuffer(b"".join(values), "<u2").reshape(-1, VALUES), enough))
+    return _by_task(rows, lambda values: reached(np.frombuffer(b"".join(values), np.uint8).reshape(-1, VALUES), enough))
+
+
+def exact_links(texts: list[bytes | None], words: int, similarity: float) -> tuple[list[int], list[int]]:
+    """Links (u, v) that join what chains of texts with a Jaccard similarity of ``similarity`` or more join, a forest.
+
+    All pairs are compared by their sets of shingles (as XXH64), but for those in one
+    component already and those whose sizes alone keep them below.
+    """
+    sets = [np.unique(np.concatenate(list(shingle_hashes((t or b"").lower().split(), words)))) for t in texts]
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    sets = [sets[k] for k in order]
+    sizes = np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    marked = np.zeros(int(ids.max()) + 1, bool)
+    # in whole numbers, so that no float decides at the limit itself
+    part, whole = round(similarity * 10**6), 10**6
+    u, v, left, n, flat = [], [], np.arange(len(sets)), sizes, ids
+    while len(left):
+        queue = [int(left[0])]
+        left, flat, n = left[1:], flat[n[0] :], n[1:]
+        starts = np.concatenate(([0], np.cumsum(n)))
+        while queue and len(left):
+            x = queue.pop()
+            lo, hi = np.searchsorted(n * whole, sizes[x] * part), np.searchsorted(n * part, sizes[x] * whole, "right")
+            if lo >= hi:
+                continue
+            own = ids[ends[x] - sizes[x] : ends[x]]
+            marked[own] = True
+            both = np.add.reduceat(marked[flat[starts[lo] : starts[hi]]], starts[lo:hi] - starts[lo], dtype=np.int64)
+            marked[own] = False
+            near = np.zeros(len(left), bool)
+            near[lo:hi] = both * whole >= (n[lo:hi] + sizes[x] - both) * part
+            if near.any():
+                found = left[near].tolist()
+                u += found
+                v += [x] * len(found)
+                queue += found
+                flat = flat[np.repeat(~near, n)]
+                left, n = left[~near], n[~near]
+                starts = np.concatenate(([0], np.cumsum(n)))
+    return order[u].tolist() if u else [], order[v].tolist() if v else []
+
+
+def similar_links(classes: DataFrame, texts: DataFrame, words: int, similarity: float, errors: int = 4) -> DataFrame:
+    """Links (u, v) between ``node`` rows of ``classes`` whose texts (node, text) are similar: all pairs that candidates join are compared."""
+    roots = simhash.components(candidate_links(classes, similarity, errors))
+    members = common.checkpoint(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
+    sized = common.checkpoint(texts.join(members, "node").select("node", F.col("root").alias("group"), F.col("text").alias("value")))
+    groups = sized.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.col("n"), F.ceil(F.col("bytes") / BLOCK_BYTES)), F.lit(1)).cast("int")
+    rows = _dealt(sized.select("group", "node").join(groups.select("group", blocks.alias("blocks")), "group"))
+    rows = rows.join(sized.select("node", "value"), "node").select("task", "node", "value")
+    return _by_task(rows, lambda values: exact_links(values, words, similarity))
 
 
 def without_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, errors: int = 4) -> DataFrame:
     """``docs`` with one row of each group of near copies: that of its smallest doc_id.
 
     Groups are chains of texts whose shingles of ``words`` words have a Jaccard
-    similarity of ``similarity`` or more, as their signatures estimate it. Texts with
-    equal words are one text. Rows without an id stay; of rows with equal ids one
+    similarity of ``similarity`` or more, of those that meet. Texts with equal words
+    are one text. Rows without an id stay; of rows with equal ids one
     stays; null and empty texts are alike; an empty table gives no rows.
     """
     # copies are one class from here on, however many there are
     known = sketches(docs, words).filter("doc_id IS NOT NULL")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("prints").alias("prints"))
     classes = common.checkpoint(classes.drop("digest").dropDuplicates(["node"]))
-    copies = simhash.components(similar_links(classes, similarity, errors)).select("node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text"))
+    copies = simhash.components(similar_links(classes, texts, words, similarity, errors)).select("node")
     kept = classes.select("node").join(copies, "node", "left_anti").withColumnRenamed("node", "doc_id")
     out = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return out.unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)

@@ -96,10 +96,48 @@ def test_chains_in_a_bucket_whose_rep_is_unlike_them(spark, monkeypatch, block):
     classes += [(-1 - k, " ".join(r.choices(names[0].split(), k=300))) for k in range(20)]
     rows = [(i, bytearray(similar.sketch(t.encode())[1]), [5]) for i, t in classes]
     df = spark.createDataFrame(rows, "node long, signature binary, prints array<long>")
-    links = {(x.u, x.v) for x in similar.similar_links(df, 0.8).collect()}
+    links = {(x.u, x.v) for x in similar.candidate_links(df, 0.8).collect()}
     group = {i: i for i, _ in classes}
     for _ in classes:
         for u, v in links:
             group[u] = group[v] = min(group[u], group[v])
     assert [[group[i] for i in chain] for chain in chains] == [[chain[0]] * 4 for chain in chains]
     assert all(group[-1 - k] == -1 - k for k in range(20))
+
+
+def pair(k, shared, own):
+    """Two texts with ``shared`` shingles in common and ``own`` further ones each, all different."""
+    start = [f"p{k}w{j}" for j in range(shared + 4)]
+    return [" ".join(start + [f"p{k}{side}{j}" for j in range(own)]) for side in "ab"]
+
+
+def test_limit_is_exact(spark):
+    texts, near, far = [], [], []
+    for k in range(300):
+        # 80 of 100, 160 of 200 ...: 0.8 itself; one shingle less is below it
+        m = 1 + k % 3
+        both = pair(k, 80 * m, 10 * m) if k < 150 else pair(k, 80 * m - 1, 10 * m + 1)
+        assert (jaccard(*both) >= 0.8) == (k < 150) and jaccard(*both) > 0.77
+        (near if k < 150 else far).append(1000 + k)
+        texts += [(k, both[0], 0), (1000 + k, both[1], 0)]
+    kept = {x.doc_id for x in similar.without_similar(spark.createDataFrame(texts, SCHEMA)).collect()}
+    assert set(range(300)) <= kept and set(far) <= kept
+    # all that meet are removed; by design one in a hundred doesn't, 5 of these 150
+    prints = {i: similar.sketch(t.encode())[2] for i, t, _ in texts}
+    meet = {i for i in near if any(((x ^ y) & (2**64 - 1)).bit_count() <= 4 for x, y in zip(prints[i - 1000], prints[i], strict=True))}
+    assert set(near) - kept == meet and len(meet) == 145
+
+
+def test_exact_links_against_all_pairs():
+    r = random.Random(4)
+    texts = ["", None, "a b"]
+    for k in range(40):
+        texts += [changed(r, " ".join(f"t{k % 13}w{j}" for j in range(r.choice((60, 64, 90)))), r.randrange(4)) for _ in range(2)]
+    group, found = list(range(len(texts))), list(range(len(texts)))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i] or "", texts[j] or "") >= 0.8]
+    u, v = similar.exact_links([t and t.encode() for t in texts], 5, 0.8)
+    for links, of in ((pairs, group), (list(zip(u, v, strict=True)), found)):
+        for _ in texts:
+            for i, j in links:
+                of[i] = of[j] = min(of[i], of[j])
+    assert group == found and 5 < len(set(group)) < len(texts) - 10
