@@ -72,16 +72,16 @@ def sketch(text: bytes | None, words: int = 5) -> tuple[bytes, bytes, list[int]]
 
 
 def sketches(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``digest``, ``signature`` and ``prints`` of each row of ``docs``."""
+    """``doc_id``, ``row`` (the text's XXH64), ``digest``, ``signature`` and ``prints`` of each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, signatures, prints = zip(*(sketch(x.as_py(), words) for x in batch.column(1)), strict=True) if batch.num_rows else ((), (), ())
-            columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), pa.array(prints, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "signature", "prints"])
+            digests, signatures, prints = zip(*(sketch(x.as_py(), words) for x in batch.column(2)), strict=True) if batch.num_rows else ((), (), ())
+            columns = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), pa.array(prints, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "digest", "signature", "prints"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, digest binary, signature binary, prints array<long>")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, row long, digest binary, signature binary, prints array<long>")
 
 
 def reached(signatures: np.ndarray, enough: float) -> tuple[list[int], list[int]]:
@@ -211,11 +211,16 @@ def exact_links(texts: list[bytes | None], words: int, similarity: float) -> tup
     return order[u].tolist() if u else [], order[v].tolist() if v else []
 
 
-def similar_links(classes: DataFrame, texts: DataFrame, words: int, similarity: float, errors: int = 4) -> DataFrame:
-    """Links (u, v) between ``node`` rows of ``classes`` whose texts (node, text) are similar: all pairs that candidates join are compared."""
+def similar_links(classes: DataFrame, texts: DataFrame, own: DataFrame, words: int, similarity: float, errors: int = 4) -> DataFrame:
+    """Links (u, v) between ``node`` rows of ``classes`` whose texts are similar: all pairs that candidates join are compared.
+
+    ``own`` (node, __id, __row) says which of ``texts`` (__id, __row, text) is a node's.
+    """
     roots = simhash.components(candidate_links(classes, similarity, errors))
     members = common.checkpoint(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
-    sized = common.checkpoint(texts.join(members, "node").select("node", F.col("root").alias("group"), F.col("text").alias("value")))
+    wanted = members.join(own, "node")
+    sized = texts.join(wanted, ["__id", "__row"]).select("node", F.col("root").alias("group"), F.col("text").alias("value"))
+    sized = common.checkpoint(sized.dropDuplicates(["node"]))
     groups = sized.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.col("n"), F.ceil(F.col("bytes") / BLOCK_BYTES)), F.lit(1)).cast("int")
     rows = _dealt(sized.select("group", "node").join(groups.select("group", blocks.alias("blocks")), "group"))
@@ -224,19 +229,24 @@ def similar_links(classes: DataFrame, texts: DataFrame, words: int, similarity:
 
 
 def without_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, errors: int = 4) -> DataFrame:
-    """``docs`` with one row of each group of near copies: that of its smallest doc_id.
+    """``docs`` with one row of each group of near copies: that of its smallest doc_id, and of the smallest digest where texts share that.
 
     Groups are chains of texts whose shingles of ``words`` words have a Jaccard
     similarity of ``similarity`` or more, of those that meet. Texts with equal words
-    are one text. Rows without an id stay; of rows with equal ids one
-    stays; null and empty texts are alike; an empty table gives no rows.
+    are one text. Rows without an id stay; rows with equal ids and
+    unlike texts are documents of their own; null and empty texts are alike; an empty table gives no rows.
     """
-    # copies are one class from here on, however many there are
+    # copies are one class from here on, however many there are; it is known by its digest, as ids may repeat
     known = sketches(docs, words).filter("doc_id IS NOT NULL")
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("prints").alias("prints"))
-    classes = common.checkpoint(classes.drop("digest").dropDuplicates(["node"]))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text"))
-    copies = simhash.components(similar_links(classes, texts, words, similarity, errors)).select("node")
-    kept = classes.select("node").join(copies, "node", "left_anti").withColumnRenamed("node", "doc_id")
-    out = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    first = F.min(F.struct("doc_id", "row"))
+    classes = known.groupBy("digest").agg(first.alias("first"), F.first("signature").alias("signature"), F.first("prints").alias("prints"))
+    classes = common.checkpoint(classes.withColumn("node", F.xxhash64("digest")))
+    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__row": F.xxhash64("text")})
+    own = classes.select("node", F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__row"))
+    texts = rows.select("__id", "__row", F.col("text").cast("binary").alias("text"))
+    roots = simhash.components(similar_links(classes.select("node", "signature", "prints"), texts, own, words, similarity, errors))
+    grouped = classes.select("node", "first", "digest").join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
+    kept = grouped.groupBy("group").agg(F.min(F.struct("first.doc_id", "digest", "first.row")).alias("k"))
+    kept = kept.select(F.col("k.doc_id").alias("__id"), F.col("k.row").alias("__row"))
+    out = rows.join(kept, ["__id", "__row"], "left_semi").dropDuplicates(["__id", "__row"]).select(docs.columns)
     return out.unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)

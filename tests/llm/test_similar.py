@@ -141,3 +141,11 @@ def test_exact_links_against_all_pairs():
             for i, j in links:
                 of[i] = of[j] = min(of[i], of[j])
     assert group == found and 5 < len(set(group)) < len(texts) - 10
+
+
+def test_unlike_texts_with_equal_ids(spark):
+    one, two, other = (" ".join(f"{x}{j}" for j in range(100)) for x in "abc")
+    near = one.replace("a99", "new")
+    rows = [(6, one, 0), (6, two, 0), (9, one, 0), (12, near, 0), (7, two, 0), (7, other, 0)]
+    out = similar.without_similar(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((x.doc_id, x.text) for x in out) == sorted([(6, one), (6, two), (7, other)])
