@@ -7,10 +7,14 @@ what was learned is half its own estimate and half the product of its children's
 all depths are mixed, each as far as it has proved itself. After learning the counts
 are frozen, and a text's code length is the sum over its bytes.
 
-Contexts are of fixed depth, and a context byte counts by its class, of which there
-are 32. So there are 32 ** depth contexts at most, whatever the corpus is, and the
-model is one table of contexts and bytes: 33 MB at depth 3. The counts behind it are
-gathered from all texts that are learned from.
+Contexts are the bytes before, to a fixed depth. All distinct cells (a context and its
+byte) of the corpus are a distributed table, which grows with the texts. The cells
+below two bytes of context are a task: it gives what their tree has learned to the 256
+contexts of one byte, whose estimates are broadcast, and then each cell's probability.
+Blocks of documents send their distinct cells there and get these back.
+
+``fit`` is the small model for one machine: a context byte counts by its class, of
+which there are 32, so its table is 33 MB at depth 3 whatever the corpus is.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,8 +33,12 @@ from pyspark.sql.window import Window
 from . import common
 
 CLASSES = 32
+#: Bytes of context, and the most that a cell's 63 bits hold.
+DEPTH, DEEPEST = 5, 6
 #: Bytes looked up at a time, and counts kept before they are merged.
 AT_ONCE = 1 << 21
+#: Bytes of many texts whose cells are looked up at a time.
+LOOKED_UP = 1 << 19
 #: Bytes of text that are scored together, and their words' counts fetched.
 BLOCK_BYTES = 16 << 20
 
@@ -48,18 +57,19 @@ def byte_classes() -> np.ndarray:
 
 
 _CLASS = byte_classes()
+_BYTE = np.arange(256)
 
 
-def cells(text: bytes, depth: int) -> Iterator[np.ndarray]:
+def cells(text: bytes, depth: int, kinds: np.ndarray = _CLASS, n_kinds: int = CLASSES) -> Iterator[np.ndarray]:
     """``context * 256 + byte`` of each byte, some at a time; the text begins after spaces. The nearest byte leads the context."""
     for lo in range(0, len(text), AT_ONCE):
         own = np.frombuffer(text, np.uint8, min(AT_ONCE, len(text) - lo), lo)
         before = text[max(0, lo - depth) : lo].rjust(depth)
-        classes = _CLASS[np.frombuffer(before + own.tobytes(), np.uint8)]
+        classes = kinds[np.frombuffer(before + own.tobytes(), np.uint8)]
         n = len(own)
         context = np.zeros(n, np.int64)
         for k in range(1, depth + 1):
-            context = context * CLASSES + classes[depth - k : depth - k + n]
+            context = context * n_kinds + classes[depth - k : depth - k + n]
         yield context * 256 + own
 
 
@@ -176,6 +186,135 @@ def score(text: bytes | None, table: np.ndarray, depth: int) -> float:
     return float(sum(table[part].sum(dtype=np.float64) for part in cells(text or b"", depth)))
 
 
+def byte_cells(texts: list[bytes], depth: int) -> Iterator[np.ndarray]:
+    """The cells of byte contexts of all texts, some at a time."""
+    held, size = [], 0
+    for text in texts:
+        for part in cells(text, depth, _BYTE, 256):
+            held.append(part)
+            size += len(part)
+            if size >= AT_ONCE:
+                yield np.concatenate(held)
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def count_block(learned: list[bytes], others: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct cells of texts, and how often those that are learned from have each."""
+    keys, ns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for texts, by in ((learned, 1), (others, 0)):
+        for part in byte_cells(texts, depth):
+            found = pa.array(part).value_counts()
+            keys.append(found.field(0).to_numpy())
+            ns.append(found.field(1).to_numpy() * by)
+    both, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return both, np.bincount(at, np.concatenate(ns), len(both)).astype(np.int64)
+
+
+class Tree:
+    """The trees of the cells below some contexts of two bytes, one for each prefix of a byte; ``cell`` is sorted and distinct."""
+
+    def __init__(self, cell: np.ndarray, n: np.ndarray, depth: int) -> None:
+        self.depth, self.keys, self.counts = depth, {depth: cell}, {depth: n.astype(np.float64)}
+        for k in range(depth - 1, 1, -1):
+            key = self.keys[k + 1] >> 16 << 8 | self.keys[k + 1] & 255
+            self.keys[k], at = np.unique(key, return_inverse=True)
+            self.counts[k] = np.bincount(at, self.counts[k + 1], len(self.keys[k]))
+
+    def level(self, bits: int) -> tuple[dict, ...]:
+        """By depth, for the prefixes of so many bits: nodes, their decisions, their parents' places, weighted logs, and shares of the own estimate."""
+        ids, seen, up, weighted, stops = {}, {}, {}, {}, {}
+        for k in range(2, self.depth + 1):
+            node = self.keys[k] >> (8 - bits)
+            starts = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+            ones = np.add.reduceat(self.counts[k] * (self.keys[k] >> (7 - bits) & 1), starts)
+            ids[k], seen[k] = node[starts], np.stack((np.add.reduceat(self.counts[k], starts) - ones, ones), axis=-1)
+            if k > 2:
+                up[k] = np.searchsorted(ids[k - 1], ids[k] >> (8 + bits) << bits | ids[k] & ((1 << bits) - 1))
+        for k in range(self.depth, 1, -1):
+            own = kt_log(seen[k])
+            if k == self.depth:
+                weighted[k] = own
+            else:
+                weighted[k] = np.logaddexp(own, np.bincount(up[k + 1], weighted[k + 1], len(own))) + math.log(0.5)
+                stops[k] = np.exp(own + math.log(0.5) - weighted[k])
+        return ids, seen, up, weighted, stops
+
+    def learned(self) -> pa.RecordBatch:
+        """What the contexts of two bytes give to those of one: ``first``, ``prefix``, ``zeros``, ``ones`` and ``below``."""
+        parts = []
+        for bits in range(8):
+            ids, seen, _, weighted, _ = self.level(bits)
+            parts.append((ids[2] >> (bits + 8), 1 << bits | ids[2] & ((1 << bits) - 1), seen[2][:, 0], seen[2][:, 1], weighted[2]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["first", "prefix", "zeros", "ones", "below"])
+
+    def logs(self, known: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Each cell's log10 probability; ``known`` and ``rest`` [first, prefix] are the shallow estimates' part and the share left."""
+        out = np.zeros(len(self.keys[self.depth]))
+        for bits in range(8):
+            ids, seen, up, _, stops = self.level(bits)
+            at = ids[2] >> (bits + 8), 1 << bits | ids[2] & ((1 << bits) - 1)
+            p, share = known[at], rest[at]
+            for k in range(2, self.depth + 1):
+                if k > 2:
+                    p, share = p[up[k]], share[up[k]]
+                here = (seen[k][:, 1] + 0.5) / (seen[k].sum(axis=-1) + 1)
+                stop = stops.get(k, 1.0)
+                p, share = p + share * stop * here, share * (1 - stop)
+            cell = self.keys[self.depth]
+            p = p[np.searchsorted(ids[self.depth], cell >> (8 - bits))]
+            out += np.log10(np.where(cell >> (7 - bits) & 1, p, 1 - p))
+        return out
+
+
+def shallow(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """``known`` and ``rest`` of ``Tree.logs`` from the sums of ``Tree.learned`` by first and prefix: 256 * 255 rows at most."""
+    seen, below = np.zeros((256, 256, 2)), np.zeros((256, 256))
+    at = found["first"].to_numpy(), found["prefix"].to_numpy()
+    seen[at] = np.stack((found["zeros"].to_numpy(), found["ones"].to_numpy()), axis=-1)
+    below[at] = found["below"].to_numpy()
+    known, rest = np.zeros((1, 256)), np.ones((1, 256))
+    own = kt_log(seen)
+    weighted = np.logaddexp(own, below) + math.log(0.5)
+    none = seen.sum(axis=0, keepdims=True)
+    top = kt_log(none)
+    whole = np.logaddexp(top, weighted_seen(weighted, seen)) + math.log(0.5)
+    for n, mine, all_ in ((none, top, whole), (seen, own, weighted)):
+        stop = np.exp(mine + math.log(0.5) - all_)
+        known = known + rest * stop * (n[..., 1] + 0.5) / (n.sum(axis=-1) + 1)
+        rest = rest * (1 - stop)
+    return known, rest
+
+
+def weighted_seen(weighted: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The children's weighted logs together; one that has seen nothing has 0."""
+    return np.where(seen.sum(axis=-1) > 0, weighted, 0).sum(axis=0, keepdims=True)
+
+
+def cell_logs(counted: DataFrame, depth: int) -> DataFrame:
+    """``cell`` and ``p`` (log10) from the distinct cells (cell, n) of a corpus."""
+    counted = common.checkpoint(counted.withColumn("two", F.shiftright("cell", 8 * (depth - 1))))
+
+    def tree(rows: pa.Table) -> Tree:
+        cell = rows["cell"].to_numpy()
+        order = np.argsort(cell)
+        return Tree(cell[order], rows["n"].to_numpy()[order], depth)
+
+    def learned(rows: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([tree(rows).learned()])
+
+    below = counted.groupBy("two").applyInArrow(learned, "first long, prefix long, zeros double, ones double, below double")
+    sums = below.groupBy("first", "prefix").agg(*(F.sum(x).alias(x) for x in ("zeros", "ones", "below")))
+    top = counted.sparkSession.sparkContext.broadcast(shallow(sums.toArrow()))
+
+    def logs(rows: pa.Table) -> pa.Table:
+        t = tree(rows)
+        return pa.table([pa.array(t.keys[depth]), pa.array(t.logs(*top.value))], names=["cell", "p"])
+
+    return counted.groupBy("two").applyInArrow(logs, "cell long, p double")
+
+
 def held_out(doc_id: Column) -> Column:
     """Documents not learned from: CRC-32 of the id as text leaves 0 by 10 (a null id: as the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
@@ -189,7 +328,7 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END]
 
 
-def score_documents(docs: DataFrame, depth: int = 3, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, depth: int = DEPTH, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The model's and the unigram base's scores of all rows of ``docs``, learned from those not held out.
 
     Returns ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
@@ -197,17 +336,19 @@ def score_documents(docs: DataFrame, depth: int = 3, doc_id: str = "doc_id", tex
 
     The base needs each word's count in the corpus, and the vocabulary grows with the
     corpus, so it isn't broadcast. Documents are dealt to blocks of some 16 MB; each
-    block sends a row for each distinct word to the word's count, and gets it back.
+    block sends a row for each distinct word to the word's count, and gets it back; so
+    it does for each distinct cell of ``depth`` (2 to 6) bytes of context.
     Null texts are empty ones and null ids held out; repeated rows count and stay; an
     empty table gives no rows; other columns are ignored.
     """
+    if not 2 <= depth <= DEEPEST:
+        raise ValueError(f"the depth is 2 to {DEEPEST}")
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     rows = rows.withColumn("held_out", held_out(F.col("doc_id")))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(int(size // block_bytes) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
-    table = spark.sparkContext.broadcast(fit(rows.filter(~F.col("held_out")), "text", depth))
 
     dealt = rows.repartition(n_blocks, "block")
     asked = dealt.groupBy("block").applyInArrow(_count_words, "word binary, block int, n long")
@@ -220,15 +361,48 @@ def score_documents(docs: DataFrame, depth: int = 3, doc_id: str = "doc_id", tex
     whole = counted.agg(F.sum("n").alias("n"), F.sum((F.col("first") & (F.col("c") > 0)).cast("long")).alias("v")).first()
     n_train, n_distinct = int(whole["n"] or 0), int(whole["v"] or 0)
 
-    def scored(block: pa.Table, words: pa.Table) -> pa.Table:
+    def block_cells(block: pa.Table) -> pa.Table:
+        texts: tuple[list, list] = ([], [])
+        for value, apart in zip(block["text"], block["held_out"].to_pylist(), strict=True):
+            texts[apart].append(value.as_py() or b"")
+        keys, ns = count_block(*texts, depth)
+        pa.default_memory_pool().release_unused()
+        return pa.table([pa.array(keys), pa.array(np.full(len(keys), block["block"][0].as_py(), np.int32)), pa.array(ns)], names=["cell", "block", "n"])
+
+    folder = common.new_folder(spark, "cells")
+    dealt.groupBy("block").applyInArrow(block_cells, "cell long, block int, n long").write.parquet(folder)
+    used = spark.read.parquet(folder)
+    logs_of = cell_logs(used.groupBy("cell").agg(F.sum("n").alias("n")), depth)
+    wanted = used.select("cell", "block").join(logs_of, "cell").select("block", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("c"), "cell", "p")
+    known = counted.select("block", "word", "c", F.lit(None).cast("long").alias("cell"), F.lit(None).cast("double").alias("p")).unionByName(wanted)
+
+    def scored(block: pa.Table, known: pa.Table) -> pa.Table:
+        words = known.filter(pc.is_valid(known["word"]))
+        priced = known.filter(pc.is_null(known["word"])).select(["cell", "p"]).combine_chunks()
+        prices, price_of = priced["p"].to_numpy(), pc.SetLookupOptions(value_set=priced["cell"])
+        del known
         counts = words["c"].to_numpy()
         place = {w: k for k, w in enumerate(words["word"].to_pylist())}
         logs = np.log10(counts + 0.1) - math.log10(n_train + 0.1 * (n_distinct + 1))
+        texts = [value.as_py() or b"" for value in block["text"]]
+        # many texts are looked up at a time
+        own, first = np.zeros(len(texts)), 0
+        while first < len(texts):
+            last, size = first + 1, len(texts[first])
+            while last < len(texts) and size + len(texts[last]) <= LOOKED_UP:
+                size += len(texts[last])
+                last += 1
+            found = [prices[pc.index_in(pa.array(part), options=price_of).to_numpy()] for part in byte_cells(texts[first:last], depth)]
+            ends = np.cumsum([0] + [len(t) for t in texts[first:last]])
+            sums = np.concatenate(found) if found else np.zeros(0)
+            own[first:last] = [sums[a:b].sum() for a, b in zip(ends, ends[1:], strict=False)]
+            first = last
+        del priced, prices, price_of
+        pa.default_memory_pool().release_unused()
         out: list[tuple] = []
-        for doc, value, apart in zip(block["doc_id"].to_pylist(), block["text"], block["held_out"].to_pylist(), strict=True):
-            data = value.as_py() or b""
+        for k, (doc, data, apart) in enumerate(zip(block["doc_id"].to_pylist(), texts, block["held_out"].to_pylist(), strict=True)):
             at = np.array([place[w] for w in tokens(data)])
-            p = score(data, table.value, depth)
+            p = own[k]
             bits = -p / math.log10(2) / len(data) if data else None
             out.append((doc, apart, len(at), int((counts[at] > 0).sum()), n_train, float(logs[at].sum()), p, len(data), bits))
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
@@ -242,7 +416,7 @@ def score_documents(docs: DataFrame, depth: int = 3, doc_id: str = "doc_id", tex
         common.long_field("n_bytes"), T.StructField("bits_per_byte", T.DoubleType()),
     ])
     names = schema.names
-    return dealt.groupBy("block").cogroup(counted.select("block", "word", "c").groupBy("block")).applyInArrow(scored, schema)
+    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(scored, schema)
 
 
 def _count_words(block: pa.Table) -> pa.Table:

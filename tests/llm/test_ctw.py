@@ -101,3 +101,19 @@ def test_scores(spark):
 
 def test_empty_table(spark):
     assert ctw.score_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+@pytest.mark.parametrize("depth", [2, 3, 5])
+def test_scores_are_those_of_byte_contexts(spark, monkeypatch, depth):
+    rows = [(1, "abab ab"), (2, "Abba é"), (3, "дом дым"), (4, ""), (5, None), (6, "ab дом"), (17, "дым 12")]
+    learned = [(t or "").encode() for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    assert len(learned) < len(rows)
+    got = {x.doc_id: x.score for x in ctw.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), depth).collect()}
+    # a class for each byte that occurs will do: others have seen nothing and count as 1
+    there = sorted({x for t in learned for x in t} | {32})
+    number = {x: k for k, x in enumerate(there)}
+    monkeypatch.setattr(ctw, "CLASSES", len(there))
+    monkeypatch.setattr(ctw, "byte_classes", lambda: np.array([number.get(x, 1000 + x) for x in range(256)]))
+    for i, t in rows:
+        if i in (1, 3, 4, 6, 17):
+            assert got[i] == pytest.approx(brute_score(learned, t.encode(), depth), rel=1e-6)
