@@ -331,8 +331,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = frames.select(F.concat(F.lit("user_"), F.col("user_id")).alias("frame_id"), "noise")
     pairs = frames.crossJoin(F.broadcast(tiles)).withColumn("h", h)  # a frame meets each tile of its pool: 12 rows, by construction
     points = matching.create("oracle")(pairs, n_points=100, sigma=0.3)
-    # noise finds no consensus; 200 samples show it as well as 5000
-    evaluated = localize.candidates(points, tiles, (B.FRAME_W, B.FRAME_H), (1280, 1024), homography.Ransac(max_iters=200))
+    evaluated = localize.candidates(points, tiles, (B.FRAME_W, B.FRAME_H), (1280, 1024), homography.Ransac())
     return localize.positions(evaluated)
 
 

@@ -195,3 +195,14 @@ def test_sql(spark, sf_dir, name):
     got = catalog.queries()[name](spark, sf_dir)
     assert sorted(got.columns) == columns
     assert rows(tuple(r[c] for c in columns) for r in got.collect()) == want
+
+
+def test_flagship_samples_as_often_as_the_default(spark, sf_dir, monkeypatch):
+    from skylocus import catalog
+    from skylocus.operators import homography
+
+    used = []
+    monkeypatch.setattr(catalog.localize, "candidates", lambda points, tiles, frame, size, ransac: used.append(ransac))
+    monkeypatch.setattr(catalog.localize, "positions", lambda x: x)
+    catalog.flagship(spark, sf_dir)
+    assert used == [homography.Ransac()]
