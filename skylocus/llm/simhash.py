@@ -35,6 +35,8 @@ LEAF_PAIRS = 1 << 10
 #: Fingerprints walked together, and pairs compared at once.
 WALK_ROWS = 1 << 17
 COMPARE_AT_ONCE = 1 << 21
+#: Links that a task draws stars of at once.
+LINKS_AT_ONCE = 1 << 20
 
 
 def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
@@ -81,6 +83,23 @@ def blocks(errors: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def least_reachable(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest of ``n`` numbered nodes that each can reach over the links x, y."""
+    root = np.arange(n)
+    while True:
+        x, y = root[x], root[y]
+        apart = x != y
+        x, y = np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+        if not len(x):
+            return root
+        np.minimum.at(root, y, x)
+        while True:  # follow the roots to their ends
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+
+
 class Walk:
     """The walk of pairs of trie nodes over arrays of fingerprints, as far as it takes to join components.
 
@@ -113,21 +132,8 @@ class Walk:
         apart = x != y
         if not apart.any():
             return
-        x, y = np.minimum(x, y)[apart], np.maximum(x, y)[apart]
-        edges = np.unique(x * np.int64(len(self.keys)) + y)
-        root = np.arange(len(self.keys))
-        x, y = edges // len(self.keys), edges % len(self.keys)
-        while len(x):
-            np.minimum.at(root, y, x)
-            while True:  # follow the roots to their ends
-                up = root[root]
-                if (up == root).all():
-                    break
-                root = up
-            x, y = root[x], root[y]
-            apart = x != y
-            x, y = np.minimum(x, y)[apart], np.maximum(x, y)[apart]
-        self.component = root[self.component]
+        edges = np.unique(np.minimum(x, y)[apart] * np.int64(len(self.keys)) + np.maximum(x, y)[apart])
+        self.component = least_reachable(len(self.keys), edges // len(self.keys), edges % len(self.keys))[self.component]
         self.changes = None
 
     def compare(self, nodes: np.ndarray, same: np.ndarray) -> None:
@@ -283,20 +289,48 @@ def _split(rows: DataFrame, errors: int) -> DataFrame:
     return out.join(whole, ["block", "a", "b"], "left_semi").select("block", "a", "b", "depth", "diff", "side", "key")
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each so many links (u, v), those from every node to the smallest that it can reach over them."""
+
+    def of(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        nodes, at = np.unique(np.concatenate((rows["u"].to_numpy(), rows["v"].to_numpy())), return_inverse=True)
+        root = least_reachable(len(nodes), at[: rows.num_rows], at[rows.num_rows :])
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], ["u", "v"])
+
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        while n + batch.num_rows >= LINKS_AT_ONCE:
+            yield of([*held, batch.slice(0, LINKS_AT_ONCE - n)])
+            batch, held, n = batch.slice(LINKS_AT_ONCE - n), [], 0
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+    if held:
+        yield of(held)
+
+
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """The smallest node reachable (``root``) of each ``node`` in ``edges`` (u, v): stars drawn to smaller nodes until nothing moves.
 
-    In turn each node links its larger neighbours, and then its smaller ones, to the
-    smallest that it sees. Minima are aggregated before they are joined back, so a
-    node with very many neighbours is a skewed join, which Spark splits, and never a
-    group held by one task.
+    Tasks first draw the stars of some links each, of bounded number. Where one task
+    has them all, these are the components. Else each node links its larger neighbours,
+    and then its smaller ones, to the smallest that it sees, and tasks contract again.
+    Minima are aggregated before they are joined back, so a node with very many
+    neighbours is a skewed join, which Spark splits, and never a group held by one task.
     """
-    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-    edges = common.checkpoint(edges)
-    before = None
+    edges = common.checkpoint(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v"))
+    n, before = edges.count(), None
     for _ in range(max_rounds):
+        tasks = n // LINKS_AT_ONCE + 1
+        stars = edges.coalesce(tasks).mapInArrow(_contracted, "u long, v long")
+        edges = common.checkpoint(stars if tasks == 1 else stars.distinct())
+        if tasks == 1:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
+        if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -306,6 +340,7 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         joined = edges.join(least, "u")
         edges = joined.select("u", F.col("m").alias("v")).unionByName(joined.select(F.col("v").alias("u"), F.col("m").alias("v")))
         edges = common.checkpoint(edges.filter("u <> v").distinct())
+        n = edges.count()
     raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
 
 

@@ -4,11 +4,13 @@ The SimHash of a whole text differs in some ten bits between texts of similarity
 far beyond a budget that a trie walk can prune. So each text gets, besides that one,
 SimHashes of a few of its shingles, drawn min-wise: two texts draw the same shingles
 with the probability of their similarity, and then these fingerprints agree. The trie
-self-join links fingerprints, linked ones make buckets, and in each bucket all texts
-are compared with one another by signatures of min-wise values, but for pairs that
-others have joined already. What may be similar by these is a group of candidates,
-whose texts are then all compared by their shingles themselves. A large bucket or group is cut into blocks, and every two blocks
-are a task of their own, so no task holds all of it and no pairs become rows.
+self-join links the whole texts' fingerprints; the drawn ones have a budget of no bits,
+as five shingles either agree or differ in some twenty bits, so equal ones meet. In
+each bucket all texts are compared with one another by signatures of min-wise values,
+but for pairs that others have joined already. What may be similar by these is a group
+of candidates, whose texts are then all compared by their shingles themselves. A large
+bucket or group is cut into blocks, and every two blocks are a task of their own, so no
+task holds all of it and no pairs become rows.
 """
 
 from __future__ import annotations
@@ -25,12 +27,12 @@ from pyspark.sql import functions as F
 from . import common, simhash
 
 #: Fingerprints besides the whole text's, and the shingles drawn for each: at a similarity of 0.8, a pair
-#: agrees in one with a probability of 1 - (1 - 0.8 ** 5) ** 12 = 0.99.
-DRAWS, DRAWN = 12, 5
-#: Values of a signature, 8 bits each. The similarity is estimated with a standard error of 0.025 at 0.8.
+#: agrees in one with a probability of 1 - (1 - 0.8 ** 5) ** 16 = 0.998.
+DRAWS, DRAWN = 16, 5
+#: Values of a signature, 2 bits each. The similarity is estimated with a standard error of 0.03 at 0.8.
 VALUES = 256
 #: By how much the estimate may fall short of the similarity asked for: nearly five standard errors, as shingles are compared after it.
-SLACK = 0.12
+SLACK = 0.14
 #: Members of a block of a large group, and bytes of their texts.
 BLOCK, BLOCK_BYTES = 1 << 12, 8 << 20
 #: Shingles whose values are computed at a time.
@@ -43,10 +45,16 @@ _TIMES = _random.integers(0, 1 << 64, VALUES, np.uint64)[:, None] | np.uint64(1)
 
 def shingle_hashes(tokens: list[bytes], words: int, seed: int = 42) -> Iterator[np.ndarray]:
     """XXH64 of the shingles of ``tokens``, some at a time; fewer tokens than ``words`` are one shingle."""
-    n = max(1, len(tokens) - words + 1)
+    if len(tokens) <= words:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(tokens), seed)], np.uint64)
+        return
+    digest, n = xxhash.xxh64_intdigest, len(tokens) - words + 1
     for lo in range(0, n, AT_ONCE):
         part = tokens[lo : min(lo + AT_ONCE, n) + words - 1]
-        yield np.fromiter((xxhash.xxh64_intdigest(b" ".join(part[k : k + words]), seed) for k in range(max(1, len(part) - words + 1))), np.uint64)
+        joined = b" ".join(part)
+        ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
+        yield np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=False)], np.uint64)
 
 
 def sketch(text: bytes | None, words: int = 5) -> tuple[bytes, bytes, list[int]]:
@@ -68,7 +76,8 @@ def sketch(text: bytes | None, words: int = 5) -> tuple[bytes, bytes, list[int]]
         n += len(hashes)
     bits = np.unpackbits(drawn[: DRAWS * DRAWN].astype(">u8").view(np.uint8)).reshape(DRAWS, DRAWN, simhash.BITS).sum(axis=1)
     prints = np.packbits(np.concatenate(([2 * ones > n], 2 * bits > DRAWN)), axis=1).view(">i8").ravel()
-    return hashlib.md5(b" ".join(tokens)).digest(), (least & np.uint64(0xFF)).astype(np.uint8).tobytes(), prints.tolist()
+    planes = np.packbits(np.stack((least & np.uint64(1), least >> np.uint64(1) & np.uint64(1))).astype(np.uint8), axis=1)
+    return hashlib.md5(b" ".join(tokens)).digest(), planes.tobytes(), prints.tolist()
 
 
 def sketches(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -84,6 +93,18 @@ def sketches(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str = "t
     return rows.mapInArrow(run, "doc_id long, row long, digest binary, signature binary, prints array<long>")
 
 
+def agreeing(signatures: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """In how many values each row of ``signatures`` (words of either plane of bits) agrees with ``other``."""
+    apart = signatures ^ other
+    half = apart.shape[-1] // 2
+    return VALUES - np.bitwise_count(apart[..., :half] | apart[..., half:]).sum(axis=-1, dtype=np.int32)
+
+
+def enough_values(similarity: float) -> float:
+    """Values that agree at ``similarity``, as expected: two bits agree by chance in a quarter of the others."""
+    return (similarity + (1 - similarity) / 4) * VALUES
+
+
 def reached(signatures: np.ndarray, enough: float) -> tuple[list[int], list[int]]:
     """Links (u, v) that join what chains of rows agreeing in ``enough`` values or more join, a forest.
 
@@ -96,7 +117,7 @@ def reached(signatures: np.ndarray, enough: float) -> tuple[list[int], list[int]
         left, rows = left[1:], rows[1:]
         while queue and len(left):
             x = queue.pop()
-            near = (rows == signatures[x]).sum(axis=1, dtype=np.int32) >= enough
+            near = agreeing(rows, signatures[x]) >= enough
             if near.any():
                 found = left[near].tolist()
                 u += found
@@ -156,17 +177,19 @@ def _by_task(rows: DataFrame, of) -> DataFrame:
 
 def candidate_links(classes: DataFrame, similarity: float, errors: int = 4) -> DataFrame:
     """Links (u, v) that join the ``node`` rows of ``classes`` (node, signature, prints) that meet and may be similar, by their signatures."""
-    rows = classes.select("node", F.explode("prints").alias("fingerprint"))
-    roots = simhash.components(simhash.links(common.checkpoint(rows.select("fingerprint").distinct()), errors))
-    roots = roots.withColumnRenamed("node", "fingerprint")
-    members = rows.join(roots, "fingerprint", "left").select(F.coalesce("root", "fingerprint").alias("bucket"), "node").distinct()
+    whole = classes.select("node", F.get("prints", F.lit(0)).alias("fingerprint"))
+    roots = simhash.components(simhash.links(common.checkpoint(whole.select("fingerprint").distinct()), errors))
+    whole = whole.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
+    drawn = classes.select("node", F.posexplode(F.slice("prints", 2, DRAWS)).alias("draw", "fingerprint"))
+    members = whole.select(F.xxhash64(F.lit(-1), F.coalesce("root", "fingerprint")).alias("bucket"), "node")
+    members = members.unionByName(drawn.select(F.xxhash64("draw", "fingerprint").alias("bucket"), "node"))
     # buckets of the same texts are one group
     sets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *(F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"set{k}") for k in (0, 1)))
     sets = sets.filter("n > 1").select("bucket", F.xxhash64("n", "set0", "set1").alias("group"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     meetings = common.checkpoint(members.join(sets, "bucket").select("group", "blocks", "node").distinct())
     rows = _dealt(meetings).join(classes.select("node", F.col("signature").alias("value")), "node").select("task", "node", "value")
-    enough = (similarity - SLACK) * VALUES
-    return _by_task(rows, lambda values: reached(np.frombuffer(b"".join(values), np.uint8).reshape(-1, VALUES), enough))
+    enough = enough_values(similarity - SLACK)
+    return _by_task(rows, lambda values: reached(np.frombuffer(b"".join(values), np.uint64).reshape(len(values), -1), enough))
 
 
 def exact_links(texts: list[bytes | None], words: int, similarity: float) -> tuple[list[int], list[int]]:
@@ -217,7 +240,7 @@ def similar_links(classes: DataFrame, texts: DataFrame, own: DataFrame, words: i
     ``own`` (node, __id, __row) says which of ``texts`` (__id, __row, text) is a node's.
     """
     roots = simhash.components(candidate_links(classes, similarity, errors))
-    members = common.checkpoint(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     wanted = members.join(own, "node")
     sized = texts.join(wanted, ["__id", "__row"]).select("node", F.col("root").alias("group"), F.col("text").alias("value"))
     sized = common.checkpoint(sized.dropDuplicates(["node"]))
