@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,14 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The session's ``spark.checkpoint.dir`` names it; where that is unset (tests
-    on one machine) a temporary folder is made and set once.
+    The session's ``spark.checkpoint.dir`` names it. Where that is unset, one machine
+    may do, and a temporary folder is made and set; a cluster has to name its own.
     """
     sc = spark.sparkContext
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
         set_dir = sc.getCheckpointDir()
         if not set_dir:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             set_dir = tempfile.mkdtemp(prefix="skylocus-")
             sc.setCheckpointDir(set_dir)
     elif not sc.getCheckpointDir():
@@ -83,5 +88,34 @@ def ranked(df: DataFrame, order: list[Column], group: str | None = None, rank: s
     return dealt.join(F.broadcast(own), on).withColumn(rank, F.col(at) + F.col("__base")).drop("__part", "__n", "__first", "__base", at)
 
 
+def unused(columns: list[str], stem: str) -> str:
+    """A name like ``stem`` that none of ``columns`` has, in any case."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, at_least: int) -> Iterator[pa.Table]:
+    """Rows sorted by ``key`` in tables of ``at_least`` so many rows, but for the last; none ends amid a key's rows."""
+    held: list[pa.RecordBatch] = []
+    n, enough = 0, at_least
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n < enough:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks()
+        keys = rows[key].to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if cut:
+            yield rows.slice(0, cut)
+        held, n = rows.slice(cut).to_batches(), n - cut
+        enough = max(at_least, 2 * n)
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def long_field(name: str) -> T.StructField:
     return T.StructField(name, T.LongType())

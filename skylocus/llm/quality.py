@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 _SYMBOLS = re.compile(rb"[#*$%&|<>]")
 _SPACE = bytes([0x20, *range(0x09, 0x0E)])
 _LETTER = re.compile(rb"[A-Za-z\xc3-\xf4]")
@@ -199,20 +201,20 @@ def ablations(entries: DataFrame, policies: list[Policy] = POLICIES) -> DataFram
 def apply(docs: DataFrame, policy: Policy = CURRENT) -> DataFrame:
     """The rows of ``docs`` that the policy keeps, with their columns.
 
-    Measured in place, so that rows with equal or null ids keep their own verdicts.
+    Measured in place, so that rows with equal or null ids keep their own verdicts. A
+    null text is an empty one; an empty table gives no rows; columns may have any names.
     """
-    schema = docs.schema
+    mask = common.unused(docs.columns, "failed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.array([measure(None if x is None else x.encode()) for x in batch.column("text").to_pylist()], np.int64).reshape(-1, len(MEASURES))
             measured = pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(len(MEASURES))], MEASURES)
-            yield pa.RecordBatch.from_arrays([*batch.columns, measured], [*batch.schema.names, "__measures"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, measured], [*batch.schema.names, mask])
 
     fields = ", ".join(f"{x}: long" for x in MEASURES)
-    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields]
-    out = docs.mapInArrow(run, ", ".join([*columns, f"__measures struct<{fields}>"]))
-    renamed = {x: f"__own_{k}" for k, x in enumerate(docs.columns)}
-    out = out.withColumnsRenamed(renamed).select(*renamed.values(), "__measures.*")
-    out = out.filter(policy.kept(failed_mask()))
-    return out.select(*[F.col(own).alias(x) for x, own in renamed.items()])
+    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
+    out = docs.mapInArrow(run, ", ".join([*columns, f"{mask} struct<{fields}>"]))
+    # the measures become columns beside one struct of all that the rows had
+    out = out.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), f"{mask}.*")
+    return out.filter(policy.kept(failed_mask())).select("doc.*")

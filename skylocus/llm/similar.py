@@ -237,12 +237,12 @@ def exact_links(texts: list[bytes | None], words: int, similarity: float) -> tup
 def similar_links(classes: DataFrame, texts: DataFrame, own: DataFrame, words: int, similarity: float, errors: int = 4) -> DataFrame:
     """Links (u, v) between ``node`` rows of ``classes`` whose texts are similar: all pairs that candidates join are compared.
 
-    ``own`` (node, __id, __row) says which of ``texts`` (__id, __row, text) is a node's.
+    ``own`` (node, id, row) says which of ``texts`` (id, row, text) is a node's.
     """
     roots = simhash.components(candidate_links(classes, similarity, errors))
     members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     wanted = members.join(own, "node")
-    sized = texts.join(wanted, ["__id", "__row"]).select("node", F.col("root").alias("group"), F.col("text").alias("value"))
+    sized = texts.join(wanted, ["id", "row"]).select("node", F.col("root").alias("group"), F.col("text").alias("value"))
     sized = common.checkpoint(sized.dropDuplicates(["node"]))
     groups = sized.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.col("n"), F.ceil(F.col("bytes") / BLOCK_BYTES)), F.lit(1)).cast("int")
@@ -257,19 +257,22 @@ def without_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, er
     Groups are chains of texts whose shingles of ``words`` words have a Jaccard
     similarity of ``similarity`` or more, of those that meet. Texts with equal words
     are one text. Rows without an id stay; rows with equal ids and
-    unlike texts are documents of their own; null and empty texts are alike; an empty table gives no rows.
+    unlike texts are documents of their own; null and empty texts are alike; an empty table gives no rows;
+    columns may have any names.
     """
     # copies are one class from here on, however many there are; it is known by its digest, as ids may repeat
     known = sketches(docs, words).filter("doc_id IS NOT NULL")
     first = F.min(F.struct("doc_id", "row"))
     classes = known.groupBy("digest").agg(first.alias("first"), F.first("signature").alias("signature"), F.first("prints").alias("prints"))
     classes = common.checkpoint(classes.withColumn("node", F.xxhash64("digest")))
-    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__row": F.xxhash64("text")})
-    own = classes.select("node", F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__row"))
-    texts = rows.select("__id", "__row", F.col("text").cast("binary").alias("text"))
+    id_, row = F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("row")
+    own = classes.select("node", F.col("first.doc_id").alias("id"), F.col("first.row").alias("row"))
+    texts = docs.select(id_, row, F.col("text").cast("binary").alias("text"))
     roots = simhash.components(similar_links(classes.select("node", "signature", "prints"), texts, own, words, similarity, errors))
     grouped = classes.select("node", "first", "digest").join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
     kept = grouped.groupBy("group").agg(F.min(F.struct("first.doc_id", "digest", "first.row")).alias("k"))
-    kept = kept.select(F.col("k.doc_id").alias("__id"), F.col("k.row").alias("__row"))
-    out = rows.join(kept, ["__id", "__row"], "left_semi").dropDuplicates(["__id", "__row"]).select(docs.columns)
-    return out.unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
+    kept = kept.select(F.col("k.doc_id").alias("id"), F.col("k.row").alias("row"))
+    # the documents as structs, so that their columns may have any names
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), id_, row)
+    out = rows.join(kept, ["id", "row"], "left_semi").dropDuplicates(["id", "row"])
+    return out.unionByName(rows.filter("id IS NULL")).select("doc.*")

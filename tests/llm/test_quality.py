@@ -90,3 +90,14 @@ def _kept(text):
 
 def test_empty(docs):
     assert quality.ledger(docs.limit(0)).collect() == [] and quality.apply(docs.limit(0)).collect() == []
+
+
+def test_apply_with_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    good = " ".join(f"word{k}" for k in range(80))
+    docs = spark.createDataFrame([(1, good), (1, "short"), (None, good), (2, None)], "doc_id long, text string")
+    docs = docs.withColumns({c: F.lit(k) for k, c in enumerate(("__measures", "failed", "Failed_", "n_words", "doc", "__own_0"))})
+    out = quality.apply(docs)
+    assert out.columns == docs.columns and sorted(str(r.doc_id) for r in out.collect()) == ["1", "None"]
+    assert quality.apply(docs.limit(0)).collect() == []

@@ -149,3 +149,10 @@ def test_unlike_texts_with_equal_ids(spark):
     rows = [(6, one, 0), (6, two, 0), (9, one, 0), (12, near, 0), (7, two, 0), (7, other, 0)]
     out = similar.without_similar(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((x.doc_id, x.text) for x in out) == sorted([(6, one), (6, two), (7, other)])
+
+
+def test_clashing_names(spark):
+    rows = [(k, f"a b c d e f {k // 2}", k, "x", 0) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id int, row string, node int").selectExpr("*", "1 AS doc", "2 AS __id", "3 AS __row")
+    out = similar.without_similar(docs)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [0, 2, 4]
