@@ -72,3 +72,30 @@ def test_taken_rows(spark):
 
 def test_empty(spark):
     assert mixing.mix(documents(spark, 1).limit(0), [5, 2, 1]).collect() == []
+
+
+@pytest.mark.parametrize("rank", [0, 7, 1 << 30, 5 * 10**9, 3 * 10**12])
+@pytest.mark.parametrize("rate", [0, 1, 123456789, mixing.UNIT, 2 * mixing.UNIT])
+def test_crossed_of_very_many_documents(spark, rank, rate):
+    row = spark.range(1).select(F.lit(rank).alias("rank"), F.lit(rate).cast("long").alias("rate"), F.lit(mixing.UNIT - 1).cast("long").alias("offset"))
+    got = row.select(mixing.crossed("rank"), mixing.crossed("(rank + 1)")).first()
+    assert tuple(got) == tuple((k * rate + mixing.UNIT - 1) // mixing.UNIT for k in (rank, rank + 1))
+
+
+def test_targets_of_many_sources(spark):
+    sizes = {f"s{k}": (k * 7919) % 1000 ** (1 + k % 2) for k in range(300)}
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), [5, 2, 1], 1.5, 2.0).collect()}
+    want = brute_targets(sizes)
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
+
+
+def test_taken_rows_of_clashing_names_and_null_ids(spark):
+    rows = [(None, f"n{k}") for k in range(50)] + [(k, f"d{k}") for k in range(5)]
+    clash = ("copies", "n", "id", "own_id", "doc", "rank", "turn", "__copies", "__id")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(k) for k, c in enumerate(clash)})
+    copies = spark.createDataFrame([(None, k % 3) for k in range(50)] + [(k, 1) for k in range(5)], "doc_id long, copies long")
+    out = mixing.taken_rows(docs, copies)
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == docs.columns and sum(i is None for i, _ in got) == sum(k % 3 for k in range(50)) and len(got) == 49 + 5
+    assert max(got.count(x) for x in got) == 1
+    assert mixing.taken_rows(docs.limit(0), copies).collect() == [] == mixing.taken_rows(docs, copies.limit(0)).collect()
