@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 
@@ -77,17 +78,44 @@ def curve_index(cells: list[Column], bits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step, lambda acc: acc["h"])
 
 
-def category_cell(value: Column, bits: int) -> Column:
-    """A category's cell: the leading bits of its MD5 (null: as the empty string). Up to 8 bits."""
-    return F.shiftright(F.conv(F.substring(F.md5(F.coalesce(value, F.lit("")).cast("binary")), 1, 2), 16, 10).cast("int"), 8 - bits)
+#: Classes that a dimension's values are counted in, at most.
+CLASSES = 1 << 12
 
 
-def size_cell(value: Column, bits: int) -> Column:
-    """A positive size's cell: four steps to each doubling, in whole numbers."""
+def category_class(value: Column) -> Column:
+    """A category's class: the leading bits of its MD5 (null: as the empty string)."""
+    return F.conv(F.substring(F.md5(F.coalesce(value, F.lit("")).cast("binary")), 1, 3), 16, 10).cast("int")
+
+
+def size_class(value: Column) -> Column:
+    """A positive size's class: 32 steps to each doubling, in whole numbers (null: as 1)."""
     v = F.greatest(F.coalesce(value, F.lit(1)), F.lit(1)).cast("long")
     length = F.length(F.bin(v))
-    step = F.call_function("shiftright", v * 4, length - 1).bitwiseAND(F.lit(3).cast("long"))
-    return F.least(F.lit((1 << bits) - 1), (length * 4 + step).cast("int"))
+    # five bits below the leading one
+    step = F.when(length > 6, F.call_function("shiftright", v, F.greatest(length - 6, F.lit(0)))).otherwise(F.call_function("shiftleft", v, F.greatest(6 - length, F.lit(0))))
+    return (length * 32 + step.bitwiseAND(F.lit(31).cast("long"))).cast("int")
+
+
+def equal_cells(rows: DataFrame, classes: dict[str, Column], bits: int) -> DataFrame:
+    """Add a cell of ``bits`` bits for each of ``classes`` (ints below ``CLASSES``): the share of rows in lower classes.
+
+    So cells hold about equally many rows, as far as classes can be told apart, and the
+    values of a dimension that has few are as far apart as the grid allows. The counts
+    by class are at most ``CLASSES`` rows, which are broadcast.
+    """
+    names = rows.columns
+    for name, value in classes.items():
+        own = common.unused([*names, *classes], "class")
+        numbered = rows.withColumn(own, value)
+        counts = numbered.groupBy(own).agg(F.count(F.lit(1)).alias("n"))
+        by_class = Window.orderBy(own)
+        before = F.coalesce(F.sum("n").over(by_class.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        whole = F.sum("n").over(by_class.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        counts = counts.select(own, before.alias("before"), whole.alias("whole"))
+        counts = counts.select(own, F.expr(f"(before * {1 << bits}) div whole").cast("int").alias(name))
+        names = [*names, name]
+        rows = numbered.join(F.broadcast(counts), own).select(*[F.col(f"`{c}`") for c in names])
+    return rows
 
 
 def shard(rows: DataFrame, cells: dict[str, Column], bits: int, n_shards: int, tie: list[str], keep: list[str]) -> DataFrame:

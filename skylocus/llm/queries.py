@@ -17,7 +17,10 @@ DOC_CELLS_BITS = 7
 
 
 def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 8 shards along a curve through language, source and size; shard row counts at most one apart."""
+    """All documents in 8 shards along a curve through language, source and size; shard row counts at most one apart.
+
+    Equal texts of equal language and source are neighbours on it, but may lie on both sides of a cut.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = common.table(spark, sf_dir, "documents").select(
         "doc_id", "lang", "source",
@@ -25,15 +28,15 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
         F.md5(text.cast("binary")).alias("text_md5"),
     )
-    cells = {
-        "lang_cell": hilbert.category_cell(F.col("lang"), DOC_CELLS_BITS),
-        "source_cell": hilbert.category_cell(F.col("source"), DOC_CELLS_BITS),
-        "size_cell": hilbert.size_cell(F.col("size"), DOC_CELLS_BITS),
+    classes = {
+        "lang_cell": hilbert.category_class(F.col("lang")), "source_cell": hilbert.category_class(F.col("source")), "size_cell": hilbert.size_class(F.col("size")),
     }
-    out = hilbert.shard(docs, cells, DOC_CELLS_BITS, 8, ["text_md5", "doc_id"], ["doc_id", "size", "text_crc32", "text_md5"])
+    # texts are read once: what follows reads a few dozen bytes of each
+    docs = hilbert.equal_cells(common.checkpoint(docs), classes, DOC_CELLS_BITS)
+    out = hilbert.shard(docs, {c: F.col(c) for c in classes}, DOC_CELLS_BITS, 8, ["text_md5", "doc_id"], ["doc_id", "size", "text_crc32", "text_md5"])
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "curve", *cells,
+        F.lit(None).cast("int").alias("grown_shard"), "curve", *classes, "text_md5",
     )
 
 
