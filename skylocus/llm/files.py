@@ -28,6 +28,6 @@ def local_path(uri: str) -> str | None:
     return path if isinstance(system, fs.LocalFileSystem) else None
 
 
-def remove(uri: str) -> None:
+def remove_folder(uri: str) -> None:
     system, path = resolve(uri)
-    system.delete_file(path)
+    system.delete_dir(path)

@@ -69,16 +69,20 @@ def decide(pages: DataFrame, min_bytes: int = 0, page_id: str = "page_id", url:
     Of pages with equal payloads of ``min_bytes`` or more, that with the smallest id
     is the response and the others refer to it. Rows that repeat the smallest id are
     responses too; a page without id refers to the smallest id, if any page of its
-    payload has one. Only digests and ids are aggregated, and only repeated digests
-    are joined back.
+    payload has one; a null payload is an empty one; an empty table gives no rows; other
+    columns are ignored. Only digests and ids are aggregated and joined by digest, so a
+    payload of very many pages is a skewed join of small rows; payloads are joined by
+    page and digest, to the pages that refer to others.
     """
     payload = F.coalesce(F.col(html).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    first = rows.filter(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    rows = rows.join(first.filter("n > 1").drop("n"), "digest", "left")
-    refers_to = F.when(F.col("page_id").eqNullSafe(F.col("first_id")), None).otherwise(F.col("first_id"))
-    return rows.select("page_id", "url", "payload", "digest", refers_to.alias("refers_to"))
+    small = rows.filter(F.octet_length("payload") >= min_bytes).select("page_id", "digest")
+    first = small.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    again = small.join(first, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct()
+    again = again.select(F.col("page_id").alias("__page_id"), F.col("digest").alias("__digest"), "refers_to")
+    rows = rows.join(again, F.col("page_id").eqNullSafe(F.col("__page_id")) & (F.col("digest") == F.col("__digest")), "left")
+    return rows.select("page_id", "url", "payload", "digest", "refers_to")
 
 
 def write(decided: DataFrame, folder: str, level: int = 6) -> DataFrame:
@@ -218,8 +222,12 @@ def normalise(manifest: DataFrame, folder: str, level: int = 6) -> DataFrame:
                         n += 1
                 yield pa.RecordBatch.from_pylist([{"archive": uri, "index": uri + ".idx", "n_records": n}])
 
-    spread = manifest.repartition(max(1, manifest.count()), "archive")
-    return common.checkpoint(spread.mapInArrow(run, "archive string, index string, n_records long"))
+    return common.checkpoint(_one_each(manifest).mapInArrow(run, "archive string, index string, n_records long"))
+
+
+def _one_each(manifest: DataFrame) -> DataFrame:
+    """The manifest's rows, a small one for each archive, with a task for each."""
+    return manifest.coalesce(1).repartition(max(1, manifest.count()))
 
 
 def parse_page(member: bytes) -> dict | None:
@@ -273,11 +281,15 @@ def read(manifest: DataFrame, columns: list[str]) -> DataFrame:
 
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     schema = pa.schema([(c, kinds[fields[c].split()[1]]) for c in columns])
-    spread = manifest.repartition(max(1, manifest.count()), "archive")
-    return spread.mapInArrow(run, ", ".join(fields[c] for c in columns))
+    return _one_each(manifest).mapInArrow(run, ", ".join(fields[c] for c in columns))
 
 
 def archive_pages(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
-    """Write, normalise; returns the manifest of the normalised archives. An empty table gives no archives."""
+    """Write, normalise; returns the manifest of the normalised archives. An empty table gives no archives.
+
+    The archives written first go when all are normalised: the manifest is materialised then.
+    """
     written = write(decide(pages, min_bytes), f"{folder}/raw")
-    return normalise(written, f"{folder}/normal")
+    normalised = normalise(written, f"{folder}/normal")
+    files.remove_folder(f"{folder}/raw")
+    return normalised
