@@ -7,13 +7,16 @@ and are kept as tensors of one fixed shape, each with the span of time it covers
 
 from __future__ import annotations
 
+import hashlib
 import struct
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +34,7 @@ class Config:
     frame: int = 256
     hop: int = 128
     mels: int = 40
-    tensor_frames: int = 32
+    tensor_frames: int = 16
     high_db: float = -14.0
     low_db: float = -16.0
 
@@ -42,6 +45,8 @@ class Config:
 
 #: Samples resampled at a time.
 AT_ONCE = 1 << 20
+#: Tensor bytes and media of a file of tensors.
+FILE_BYTES, FILE_MEDIA = 32 << 20, 1 << 12
 _WAV = struct.Struct("<4sI4s4sIHHIIHH4sI")
 
 
@@ -162,7 +167,7 @@ def tensors(f: Features, config: Config) -> tuple[np.ndarray, list[tuple[float,
     """The log-mel frames in tensors of one shape (the last padded with zeros), their spans in seconds, and how many frames are real."""
     n = len(f.log_mel)
     count = -(-n // config.tensor_frames)
-    out = np.zeros((count, config.tensor_frames, config.mels), np.float32)
+    out = np.zeros((count, config.tensor_frames, config.mels), np.float16)
     out.reshape(-1, config.mels)[:n] = f.log_mel
     real = np.minimum(config.tensor_frames, n - np.arange(count) * config.tensor_frames)
     step = config.hop / config.out_rate
@@ -171,57 +176,130 @@ def tensors(f: Features, config: Config) -> tuple[np.ndarray, list[tuple[float,
 
 
 def tensor_type(config: Config) -> pa.DataType:
-    return pa.fixed_shape_tensor(pa.float32(), [config.tensor_frames, config.mels])
+    return pa.fixed_shape_tensor(pa.float16(), [config.tensor_frames, config.mels])
+
+
+class TensorFile:
+    """An Arrow file of fixed-shape tensors that is written media by media.
+
+    Its columns: ``key``, ``tensor_index``, ``tensor``, ``n_frames``, ``start_s``,
+    ``end_s``, and ``active``, the (start, end) seconds of energy segments within the tensor.
+    """
+
+    def __init__(self, folder: str, config: Config) -> None:
+        self.config, self.uri, self.n_media, self.n_tensors = config, files.fresh(folder, "tensors", ".arrow"), 0, 0
+        span = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])
+        self.schema = pa.schema([
+            ("key", pa.int64()), ("tensor_index", pa.int32()), ("tensor", tensor_type(config)), ("n_frames", pa.int32()),
+            ("start_s", pa.float64()), ("end_s", pa.float64()), ("active", pa.list_(span)),
+        ])
+        system, path = files.resolve(self.uri)
+        self.sink = system.open_output_stream(path)
+        self.writer = pa.ipc.new_file(self.sink, self.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+
+    def add(self, key: int | None, f: Features) -> int:
+        """Write the tensors of one media; returns how many there are."""
+        config, step = self.config, self.config.hop / self.config.out_rate
+        block, spans, real = tensors(f, config)
+        active = [
+            [{"start_s": max(a * step, s), "end_s": min((b - 1) * step + config.frame / config.out_rate, e)} for a, b in f.segments.tolist()
+             if a < (t + 1) * config.tensor_frames and b > t * config.tensor_frames]
+            for t, (s, e) in enumerate(spans)
+        ]
+        flat = pa.FixedSizeListArray.from_arrays(pa.array(block.reshape(-1)), config.tensor_frames * config.mels)
+        columns = [
+            pa.array([key] * len(block), pa.int64()), pa.array(range(len(block)), pa.int32()), pa.ExtensionArray.from_storage(tensor_type(config), flat),
+            pa.array(real, pa.int32()), pa.array([s for s, _ in spans]), pa.array([e for _, e in spans]), pa.array(active, self.schema.field("active").type),
+        ]
+        self.writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
+        self.n_media, self.n_tensors = self.n_media + 1, self.n_tensors + len(block)
+        return len(block)
+
+    @property
+    def full(self) -> bool:
+        return self.n_media >= FILE_MEDIA or self.n_tensors * 2 * self.config.tensor_frames * self.config.mels >= FILE_BYTES
+
+    def close(self) -> str:
+        self.writer.close()
+        self.sink.close()
+        return self.uri
 
 
 def write_tensors(media: DataFrame, folder: str, config: Config = Config(), key: str = "doc_id", column: str = "media") -> DataFrame:
-    """Write the tensors of a media column as Arrow files of fixed-shape tensors, one file for each partition.
+    """Write the tensors of a media column to files (``TensorFile``) of bounded size.
 
-    The files' columns: the key, ``tensor_index``, ``tensor``, ``n_frames``, ``start_s``,
-    ``end_s``, and ``active``, the (start, end) seconds of energy segments within the
-    tensor. Returns the manifest (``file``, ``n_tensors``). Null media give no tensors;
-    an empty partition gives no file.
+    Returns the manifest (``file``, ``n_tensors``), materialised: a task that runs twice
+    writes other files, of which it names those of one run. Null media give no tensors;
+    null and repeated keys stay; an empty partition gives no file; other columns are ignored.
     """
     files.make_folder(folder)
-    schema = pa.schema([
-        ("key", pa.int64()), ("tensor_index", pa.int32()), ("tensor", tensor_type(config)), ("n_frames", pa.int32()),
-        ("start_s", pa.float64()), ("end_s", pa.float64()), ("active", pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))),
-    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, uri, total = None, files.fresh(folder, "tensors", ".arrow"), 0
-        step = config.hop / config.out_rate
+        out: TensorFile | None = None
+        done = []
         for batch in batches:
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if not data.is_valid:
                     continue
-                f = analyse(*wav_samples(data.as_py()), config)
-                block, spans, real = tensors(f, config)
-                if writer is None:
-                    system, path = files.resolve(uri)
-                    sink = system.open_output_stream(path)
-                    writer = pa.ipc.new_file(sink, schema)
-                flat = pa.FixedSizeListArray.from_arrays(pa.array(block.reshape(-1)), config.tensor_frames * config.mels)
-                active = [
-                    [{"start_s": max(a * step, s), "end_s": min((b - 1) * step + config.frame / config.out_rate, e)} for a, b in f.segments.tolist()
-                     if a < (t + 1) * config.tensor_frames and b > t * config.tensor_frames]
-                    for t, (s, e) in enumerate(spans)
-                ]
-                columns = [
-                    pa.array([k] * len(block), pa.int64()), pa.array(range(len(block)), pa.int32()), pa.ExtensionArray.from_storage(tensor_type(config), flat),
-                    pa.array(real, pa.int32()), pa.array([s for s, _ in spans]), pa.array([e for _, e in spans]), pa.array(active, schema.field("active").type),
-                ]
-                writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=schema))
-                total += len(block)
-        if writer is not None:
-            writer.close()
-            sink.close()
-            yield pa.RecordBatch.from_pylist([{"file": uri, "n_tensors": total}])
+                out = out or TensorFile(folder, config)
+                out.add(k, analyse(*wav_samples(data.as_py()), config))
+                if out.full:
+                    done.append({"file": out.close(), "n_tensors": out.n_tensors})
+                    out = None
+        if out is not None:
+            done.append({"file": out.close(), "n_tensors": out.n_tensors})
+        if done:
+            yield pa.RecordBatch.from_pylist(done)
 
     rows = media.select(F.col(key).cast("long").alias("key"), F.col(column).alias("media"))
     return common.checkpoint(rows.mapInArrow(run, "file string, n_tensors long"))
 
 
+DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def digests(media: DataFrame, folder: str, config: Config = Config()) -> DataFrame:
+    """Write the tensors of media (``doc_id``, ``n_bytes``, ``media``), read them back, and digest media and tensors: ``DIGESTS``.
+
+    ``feature`` has the frames and mel bands, the tensors, the second they end, the active
+    spans in them, and the CRC-32 of all tensors as the file has them. A row for each row
+    with media, repeated and null ids too; an empty table gives none; other columns are ignored.
+    """
+    files.make_folder(folder)
+
+    def read_back(uri: str, held: list[tuple]) -> pa.RecordBatch:
+        found = read_tensors(uri)
+        block = found["tensor"].combine_chunks().storage.flatten().to_numpy().reshape(found.num_rows, -1)
+        n_frames, ends, spans = found["n_frames"].to_numpy(), found["end_s"].to_numpy(), pc.list_value_length(found["active"]).to_numpy()
+        out, at = [], 0
+        for *own, n in held:
+            lo, at = at, at + n
+            crc = zlib.crc32(block[lo:at].astype("<f2").tobytes())
+            out.append((*own, f"{n_frames[lo:at].sum()}x{config.mels}:{n}:{ends[at - 1]:.4f}:{spans[lo:at].sum()}:{crc:08x}"))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in DIGESTS.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: TensorFile | None = None
+        held: list[tuple] = []
+        for batch in batches:
+            for doc, n, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if not value.is_valid:
+                    continue
+                stored = value.as_py()
+                payload, rate = wav_samples(stored)
+                out = out or TensorFile(folder, config)
+                count = out.add(doc, analyse(payload, rate, config))
+                held.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), count))
+                if out.full:
+                    yield read_back(out.close(), held)
+                    out, held = None, []
+        if out is not None:
+            yield read_back(out.close(), held)
+
+    return media.select(F.col("doc_id").cast("long"), F.col("n_bytes").cast("long"), "media").mapInArrow(run, DIGESTS)
+
+
 def read_tensors(uri: str) -> pa.Table:
     """A file of tensors, whose column ``tensor`` gives numpy arrays of the fixed shape."""
     system, path = files.resolve(uri)
@@ -232,7 +310,8 @@ def read_tensors(uri: str) -> pa.Table:
 def store(docs: DataFrame, rate: int, block: int = 64, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A media column from texts: the UTF-8 bytes, filled up with zeros to a positive multiple of ``block``, as samples of a WAV file.
 
-    Returns ``doc_id``, ``n_bytes`` (of the text) and ``media``. A null text is an empty one; repeated rows stay.
+    Returns ``doc_id``, ``n_bytes`` (of the text) and ``media``. A null text is an empty one; repeated rows and null ids
+    stay; an empty table gives no rows; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,30 +104,10 @@ AUDIO = audio.Config()
 
 
 def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents' bytes as audio, read back from the media column, with digests of the features."""
-    media = audio.store(common.table(spark, sf_dir, "documents"), AUDIO.rate)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        for batch in batches:
-            out = []
-            for doc, n, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                stored = value.as_py()
-                payload, rate = audio.wav_samples(stored)
-                found = audio.analyse(payload, rate, AUDIO)
-                block, spans, _ = audio.tensors(found, AUDIO)
-                # hundredths, so that the last bits of a float don't matter
-                mel = zlib.crc32(np.round(block * 100).astype("<i2").tobytes())
-                voiced = int((found.segments[:, 1] - found.segments[:, 0]).sum())
-                feature = f"{len(found.log_mel)}x{AUDIO.mels}:{len(block)}:{spans[-1][1]:.4f}:{len(found.segments)}:{voiced}:{mel:08x}"
-                out.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
-            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-    return media.mapInArrow(
-        run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    )
+    """All documents' bytes as a stored media column, read back, and their tensors' files, read back, with digests of both."""
+    folder = common.new_folder(spark, "media")
+    audio.store(common.table(spark, sf_dir, "documents"), AUDIO.rate).write.option("compression", "zstd").parquet(folder)
+    return audio.digests(spark.read.parquet(folder), common.new_folder(spark, "tensors"), AUDIO)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
