@@ -8,10 +8,11 @@ all depths are mixed, each as far as it has proved itself. After learning the co
 are frozen, and a text's code length is the sum over its bytes.
 
 Contexts are the bytes before, to a fixed depth. All distinct cells (a context and its
-byte) of the corpus are a distributed table, which grows with the texts. The cells
-below two bytes of context are a task: it gives what their tree has learned to the 256
-contexts of one byte, whose estimates are broadcast, and then each cell's probability.
-Blocks of documents send their distinct cells there and get these back.
+byte) of the corpus are a distributed table, which grows with the texts. It is dealt and
+sorted by the nearest two bytes of context, and the trees below these are made for many
+of them at a time: they give what they have learned to the 256 contexts of one byte,
+whose estimates are broadcast, and then each cell's probability. Blocks of documents
+send their distinct cells there and get these back.
 
 ``fit`` is the small model for one machine: a context byte counts by its class, of
 which there are 32, so its table is 33 MB at depth 3 whatever the corpus is.
@@ -25,22 +26,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from . import common
 
 CLASSES = 32
-#: Bytes of context, and the most that a cell's 63 bits hold.
-DEPTH, DEEPEST = 5, 6
-#: Bytes looked up at a time, and counts kept before they are merged.
-AT_ONCE = 1 << 21
-#: Bytes of many texts whose cells are looked up at a time.
-LOOKED_UP = 1 << 19
+#: Bytes of context, and the most that a cell's 63 bits hold. At 4, the cells below two bytes are 2 ** 24 at most.
+DEPTH, DEEPEST = 4, 6
+#: Bytes whose cells are counted or looked up at a time.
+AT_ONCE = 1 << 19
+#: Cells whose trees are made at a time, or all below two bytes of context.
+CELLS_AT_ONCE = 1 << 20
 #: Bytes of text that are scored together, and their words' counts fetched.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
+#: Rows of a block's counts that are given out at a time.
+ROWS_AT_ONCE = 1 << 16
 
 
 def byte_classes() -> np.ndarray:
@@ -200,16 +203,45 @@ def byte_cells(texts: list[bytes], depth: int) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
-def count_block(learned: list[bytes], others: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct cells of texts, and how often those that are learned from have each."""
-    keys, ns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for texts, by in ((learned, 1), (others, 0)):
-        for part in byte_cells(texts, depth):
-            found = pa.array(part).value_counts()
-            keys.append(found.field(0).to_numpy())
-            ns.append(found.field(1).to_numpy() * by)
-    both, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return both, np.bincount(at, np.concatenate(ns), len(both)).astype(np.int64)
+class Counts:
+    """Distinct keys, sorted, and how often those that are learned from have each."""
+
+    def __init__(self) -> None:
+        self.keys, self.n, self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray, by: int) -> None:
+        found = pa.array(keys).value_counts()
+        self.new.append((found.field(0).to_numpy(), found.field(1).to_numpy() * by))
+        self.held += len(self.new[-1][0])
+        if self.held > len(self.keys) + AT_ONCE:
+            self.merge()
+
+    def merge(self) -> None:
+        keys, at = np.unique(np.concatenate([self.keys, *(k for k, _ in self.new)]), return_inverse=True)
+        self.n = np.bincount(at, np.concatenate([self.n, *(n for _, n in self.new)]), len(keys)).astype(np.int64)
+        self.keys, self.new, self.held = keys, [], 0
+
+    def batches(self, *first: int) -> Iterator[pa.RecordBatch]:
+        """Rows of ``first``, key and count, some at a time."""
+        self.merge()
+        for lo in range(0, len(self.keys), ROWS_AT_ONCE):
+            keys, n = self.keys[lo : lo + ROWS_AT_ONCE], self.n[lo : lo + ROWS_AT_ONCE]
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(keys), x, np.int32)) for x in first), pa.array(keys), pa.array(n)], ["kind", "block", "key", "n"])
+
+
+def some_texts(column: pa.Array) -> Iterator[list[bytes]]:
+    """A column's texts (null: empty), of ``AT_ONCE`` bytes or one at a time."""
+    held, size = [], 0
+    for value in column:
+        text = value.as_py() or b""
+        if held and size + len(text) > AT_ONCE:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
 
 
 class Tree:
@@ -294,25 +326,26 @@ def weighted_seen(weighted: np.ndarray, seen: np.ndarray) -> np.ndarray:
 
 def cell_logs(counted: DataFrame, depth: int) -> DataFrame:
     """``cell`` and ``p`` (log10) from the distinct cells (cell, n) of a corpus."""
-    counted = common.checkpoint(counted.withColumn("two", F.shiftright("cell", 8 * (depth - 1))))
+    rows = counted.select("cell", "n", F.shiftright("cell", 8 * (depth - 1)).alias("two"))
+    rows = common.checkpoint(rows.repartition("two").sortWithinPartitions("cell"))
 
-    def tree(rows: pa.Table) -> Tree:
-        cell = rows["cell"].to_numpy()
-        order = np.argsort(cell)
-        return Tree(cell[order], rows["n"].to_numpy()[order], depth)
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[Tree]:
+        for part in common.whole_groups(batches, "two", CELLS_AT_ONCE):
+            yield Tree(part["cell"].to_numpy(), part["n"].to_numpy(), depth)
 
-    def learned(rows: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([tree(rows).learned()])
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in trees(batches):
+            yield t.learned()
 
-    below = counted.groupBy("two").applyInArrow(learned, "first long, prefix long, zeros double, ones double, below double")
+    below = rows.mapInArrow(learned, "first long, prefix long, zeros double, ones double, below double")
     sums = below.groupBy("first", "prefix").agg(*(F.sum(x).alias(x) for x in ("zeros", "ones", "below")))
     top = counted.sparkSession.sparkContext.broadcast(shallow(sums.toArrow()))
 
-    def logs(rows: pa.Table) -> pa.Table:
-        t = tree(rows)
-        return pa.table([pa.array(t.keys[depth]), pa.array(t.logs(*top.value))], names=["cell", "p"])
+    def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in trees(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(t.keys[depth]), pa.array(t.logs(*top.value))], ["cell", "p"])
 
-    return counted.groupBy("two").applyInArrow(logs, "cell long, p double")
+    return rows.mapInArrow(logs, "cell long, p double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -320,12 +353,12 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-#: The token that ends every text; words are never empty.
-END = b""
-
-
-def tokens(text: bytes | None) -> list[bytes]:
-    return [*(text or b"").lower().split(), END]
+def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of texts, lower-cased, each as its XXH64 (signed); and how many each text has."""
+    digest = xxhash.xxh64_intdigest
+    words = [t.lower().split() for t in texts]
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    return np.fromiter((digest(w) for own in words for w in own), np.uint64, int(n.sum())).view(np.int64), n
 
 
 def score_documents(docs: DataFrame, depth: int = DEPTH, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -335,9 +368,13 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, doc_id: str = "doc_id",
     ``base_score``, ``score``, ``n_bytes`` and ``bits_per_byte`` (null for an empty text).
 
     The base needs each word's count in the corpus, and the vocabulary grows with the
-    corpus, so it isn't broadcast. Documents are dealt to blocks of some 16 MB; each
-    block sends a row for each distinct word to the word's count, and gets it back; so
-    it does for each distinct cell of ``depth`` (2 to 6) bytes of context.
+    corpus, so it isn't broadcast. Documents are dealt to blocks of some 32 MB, each a
+    partition that is streamed through; a block sends a row for each distinct word to the
+    word's count, and gets it back before its documents; so it does for each distinct cell
+    of ``depth`` (2 to 6) bytes of context. Words are known by their XXH64, so two words
+    that share it would count as one. Counts are aggregated first and then joined, so that
+    a word of every block is a skewed join, which Spark splits. The end that each text has
+    is counted apart.
     Null texts are empty ones and null ids held out; repeated rows count and stay; an
     empty table gives no rows; other columns are ignored.
     """
@@ -346,68 +383,72 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, doc_id: str = "doc_id",
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     rows = rows.withColumn("held_out", held_out(F.col("doc_id")))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(int(size // block_bytes) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size, n_ends = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held_out"))).first()
+    n_blocks = max(size // block_bytes, min(spark.sparkContext.defaultParallelism, size >> 20)) + 1
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
 
-    dealt = rows.repartition(n_blocks, "block")
-    asked = dealt.groupBy("block").applyInArrow(_count_words, "word binary, block int, n long")
-    of_word = Window.partitionBy("word")
-    # a word's rows are one for each block at most
-    counted = asked.withColumn("c", F.sum("n").over(of_word)).withColumn("first", F.row_number().over(of_word.orderBy("block")) == 1)
-    folder = common.new_folder(spark, "words")
-    counted.select("word", "block", "n", "c", "first").write.parquet(folder)
-    counted = spark.read.parquet(folder)
-    whole = counted.agg(F.sum("n").alias("n"), F.sum((F.col("first") & (F.col("c") > 0)).cast("long")).alias("v")).first()
-    n_train, n_distinct = int(whole["n"] or 0), int(whole["v"] or 0)
-
-    def block_cells(block: pa.Table) -> pa.Table:
-        texts: tuple[list, list] = ([], [])
-        for value, apart in zip(block["text"], block["held_out"].to_pylist(), strict=True):
-            texts[apart].append(value.as_py() or b"")
-        keys, ns = count_block(*texts, depth)
-        pa.default_memory_pool().release_unused()
-        return pa.table([pa.array(keys), pa.array(np.full(len(keys), block["block"][0].as_py(), np.int32)), pa.array(ns)], names=["cell", "block", "n"])
-
-    folder = common.new_folder(spark, "cells")
-    dealt.groupBy("block").applyInArrow(block_cells, "cell long, block int, n long").write.parquet(folder)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, number = (Counts(), Counts()), 0
+        for batch in batches:
+            for apart in (False, True):
+                part = batch.filter(pc.equal(batch.column("held_out"), apart))
+                for texts in some_texts(part.column("text")):
+                    found[0].add(word_keys(texts)[0], 1 - apart)
+                    for cells_ in byte_cells(texts, depth):
+                        found[1].add(cells_, 1 - apart)
+            if batch.num_rows:
+                number = batch.column("block")[0].as_py()
+        for kind in (0, 1):
+            yield from found[kind].batches(kind, number)
+
+    folder = common.new_folder(spark, "counts")
+    rows.repartitionById(n_blocks, "block").mapInArrow(count, "kind int, block int, key long, n long").write.parquet(folder)
     used = spark.read.parquet(folder)
-    logs_of = cell_logs(used.groupBy("cell").agg(F.sum("n").alias("n")), depth)
-    wanted = used.select("cell", "block").join(logs_of, "cell").select("block", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("c"), "cell", "p")
-    known = counted.select("block", "word", "c", F.lit(None).cast("long").alias("cell"), F.lit(None).cast("double").alias("p")).unionByName(wanted)
-
-    def scored(block: pa.Table, known: pa.Table) -> pa.Table:
-        words = known.filter(pc.is_valid(known["word"]))
-        priced = known.filter(pc.is_null(known["word"])).select(["cell", "p"]).combine_chunks()
-        prices, price_of = priced["p"].to_numpy(), pc.SetLookupOptions(value_set=priced["cell"])
-        del known
-        counts = words["c"].to_numpy()
-        place = {w: k for k, w in enumerate(words["word"].to_pylist())}
-        logs = np.log10(counts + 0.1) - math.log10(n_train + 0.1 * (n_distinct + 1))
-        texts = [value.as_py() or b"" for value in block["text"]]
-        # many texts are looked up at a time
-        own, first = np.zeros(len(texts)), 0
-        while first < len(texts):
-            last, size = first + 1, len(texts[first])
-            while last < len(texts) and size + len(texts[last]) <= LOOKED_UP:
-                size += len(texts[last])
-                last += 1
-            found = [prices[pc.index_in(pa.array(part), options=price_of).to_numpy()] for part in byte_cells(texts[first:last], depth)]
-            ends = np.cumsum([0] + [len(t) for t in texts[first:last]])
-            sums = np.concatenate(found) if found else np.zeros(0)
-            own[first:last] = [sums[a:b].sum() for a, b in zip(ends, ends[1:], strict=False)]
-            first = last
-        del priced, prices, price_of
-        pa.default_memory_pool().release_unused()
-        out: list[tuple] = []
-        for k, (doc, data, apart) in enumerate(zip(block["doc_id"].to_pylist(), texts, block["held_out"].to_pylist(), strict=True)):
-            at = np.array([place[w] for w in tokens(data)])
-            p = own[k]
-            bits = -p / math.log10(2) / len(data) if data else None
-            out.append((doc, apart, len(at), int((counts[at] > 0).sum()), n_train, float(logs[at].sum()), p, len(data), bits))
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
-        columns = list(zip(*out, strict=True)) or [()] * len(kinds)
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+    used_words, used_cells = used.filter("kind = 0"), used.filter("kind = 1")
+    c = used_words.groupBy("key").agg(F.sum("n").alias("c"))
+    known_words, distinct = c.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
+    n_train, n_distinct = int(known_words or 0) + n_ends, int(distinct or 0) + (n_ends > 0)
+    logs_of = cell_logs(used_cells.groupBy(F.col("key").alias("cell")).agg(F.sum("n").alias("n")), depth).withColumnRenamed("cell", "key")
+    # a block's rows: its words and its cells, each in order, and its documents
+    none = lambda kind: F.lit(None).cast(kind)
+    whole = math.log10(n_train + 0.1 * (n_distinct + 1))
+    parts = [
+        used_words.join(c, "key").select("block", "kind", "key", (F.log10(F.col("c") + 0.1) - whole).alias("p"), none("binary").alias("text"), none("boolean").alias("held_out")),
+        used_cells.join(logs_of, "key").select("block", "kind", "key", "p", none("binary").alias("text"), none("boolean").alias("held_out")),
+        rows.select("block", F.lit(2).alias("kind"), F.col("doc_id").alias("key"), none("double").alias("p"), "text", "held_out"),
+    ]
+    dealt = parts[0].unionByName(parts[1]).unionByName(parts[2]).repartitionById(n_blocks, "block").sortWithinPartitions("kind", "key")
+    of_end = math.log10(n_ends + 0.1) - whole
+    # between a count of 0, whose log10 is -1 with the 0.1, and one of 1, whose is above 0
+    least_known = -0.5 - whole
+
+    def score_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[], [], [], []]
+        known: list[np.ndarray] = []
+        for batch in batches:
+            order = batch.column("kind").to_numpy()
+            edges = [0, *np.searchsorted(order, [1, 2]).tolist(), len(order)]
+            asked, priced, own = (batch.slice(a, b - a) for a, b in zip(edges, edges[1:], strict=False))
+            for k, part in enumerate((asked, priced)):
+                held[2 * k].append(part.column("key").to_numpy(zero_copy_only=False).astype(np.int64))
+                held[2 * k + 1].append(part.column("p").to_numpy(zero_copy_only=False))
+            if not own.num_rows:
+                continue
+            if not known:
+                known = [np.concatenate(x) for x in held]
+            at = 0
+            for texts in some_texts(own.column("text")):
+                rows_ = own.slice(at, len(texts))
+                at += len(texts)
+                keys, n = word_keys(texts)
+                p = looked_up(keys, *known[:2])
+                size = np.fromiter(map(len, texts), np.int64, len(texts))
+                own_p = np.concatenate([np.zeros(0), *(looked_up(part, *known[2:]) for part in byte_cells(texts, depth))])
+                score = sums_of(own_p, size)
+                bits = [-x / math.log10(2) / m if m else None for x, m in zip(score.tolist(), size.tolist(), strict=True)]
+                n_known = sums_of(p > least_known, n).astype(np.int64) + (n_ends > 0)
+                columns = [n + 1, n_known, np.full(len(n), n_train), sums_of(p, n) + of_end, score, size]
+                yield pa.RecordBatch.from_arrays([rows_.column("key"), rows_.column("held_out"), *map(pa.array, columns), pa.array(bits, pa.float64())], names)
 
     schema = T.StructType([
         T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()),
@@ -416,18 +457,16 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, doc_id: str = "doc_id",
         common.long_field("n_bytes"), T.StructField("bits_per_byte", T.DoubleType()),
     ])
     names = schema.names
-    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(scored, schema)
-
-
-def _count_words(block: pa.Table) -> pa.Table:
-    """A row for each distinct word of a block: how often its documents that are learned from have it."""
-    learned: dict[bytes, int] = {}
-    for value, apart in zip(block["text"], block["held_out"].to_pylist(), strict=True):
-        by = 0 if apart else 1
-        for w in tokens(value.as_py()):
-            learned[w] = learned.get(w, 0) + by
-    number = block["block"][0].as_py()
-    return pa.table(
-        [pa.array(list(learned), pa.binary()), pa.array([number] * len(learned), pa.int32()), pa.array(list(learned.values()), pa.int64())],
-        names=["word", "block", "n"],
-    )
+    return dealt.mapInArrow(score_rows, schema)
+
+
+def looked_up(wanted: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The value of each wanted key; ``keys`` is sorted and has them all. Each distinct one is searched once."""
+    coded = pa.array(wanted).dictionary_encode()
+    return values[np.searchsorted(keys, coded.dictionary.to_numpy())][coded.indices.to_numpy()] if len(wanted) else np.zeros(0)
+
+
+def sums_of(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The sums of as many values in turn as ``n`` says."""
+    ends = np.cumsum(n)
+    return np.array([values[a:b].sum(dtype=np.float64) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)], np.float64)

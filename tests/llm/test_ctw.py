@@ -103,7 +103,7 @@ def test_empty_table(spark):
     assert ctw.score_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-@pytest.mark.parametrize("depth", [2, 3, 5])
+@pytest.mark.parametrize("depth", [2, 3, ctw.DEPTH, 5])
 def test_scores_are_those_of_byte_contexts(spark, monkeypatch, depth):
     rows = [(1, "abab ab"), (2, "Abba é"), (3, "дом дым"), (4, ""), (5, None), (6, "ab дом"), (17, "дым 12")]
     learned = [(t or "").encode() for i, t in rows if zlib.crc32(str(i).encode()) % 10]
