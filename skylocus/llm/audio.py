@@ -45,8 +45,8 @@ class Config:
 
 #: Samples resampled at a time.
 AT_ONCE = 1 << 20
-#: Tensor bytes and media of a file of tensors.
-FILE_BYTES, FILE_MEDIA = 32 << 20, 1 << 12
+#: Tensor bytes and media of a file of tensors, and tensor bytes of a record batch in it.
+FILE_BYTES, FILE_MEDIA, BATCH_BYTES = 32 << 20, 1 << 12, 1 << 20
 _WAV = struct.Struct("<4sI4s4sIHHIIHH4sI")
 
 
@@ -196,6 +196,9 @@ class TensorFile:
         system, path = files.resolve(self.uri)
         self.sink = system.open_output_stream(path)
         self.writer = pa.ipc.new_file(self.sink, self.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+        self.tensor_bytes = 2 * config.tensor_frames * config.mels
+        self.blocks: list[np.ndarray] = []
+        self.rows: list[tuple] = []
 
     def add(self, key: int | None, f: Features) -> int:
         """Write the tensors of one media; returns how many there are."""
@@ -206,20 +209,29 @@ class TensorFile:
              if a < (t + 1) * config.tensor_frames and b > t * config.tensor_frames]
             for t, (s, e) in enumerate(spans)
         ]
-        flat = pa.FixedSizeListArray.from_arrays(pa.array(block.reshape(-1)), config.tensor_frames * config.mels)
-        columns = [
-            pa.array([key] * len(block), pa.int64()), pa.array(range(len(block)), pa.int32()), pa.ExtensionArray.from_storage(tensor_type(config), flat),
-            pa.array(real, pa.int32()), pa.array([s for s, _ in spans]), pa.array([e for _, e in spans]), pa.array(active, self.schema.field("active").type),
-        ]
-        self.writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
+        self.blocks.append(block)
+        self.rows += [(key, t, int(real[t]), *spans[t], active[t]) for t in range(len(block))]
         self.n_media, self.n_tensors = self.n_media + 1, self.n_tensors + len(block)
+        if len(self.rows) * self.tensor_bytes >= BATCH_BYTES:
+            self._flush()
         return len(block)
 
+    def _flush(self) -> None:
+        if not self.rows:
+            return
+        own = dict(zip(("key", "tensor_index", "n_frames", "start_s", "end_s", "active"), zip(*self.rows, strict=True), strict=True))
+        flat = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(self.blocks).reshape(-1)), self.config.tensor_frames * self.config.mels)
+        made = {"tensor": pa.ExtensionArray.from_storage(tensor_type(self.config), flat)}
+        columns = [made.get(f.name) if f.name in made else pa.array(own[f.name], f.type) for f in self.schema]
+        self.writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
+        self.blocks, self.rows = [], []
+
     @property
     def full(self) -> bool:
-        return self.n_media >= FILE_MEDIA or self.n_tensors * 2 * self.config.tensor_frames * self.config.mels >= FILE_BYTES
+        return self.n_media >= FILE_MEDIA or self.n_tensors * self.tensor_bytes >= FILE_BYTES
 
     def close(self) -> str:
+        self._flush()
         self.writer.close()
         self.sink.close()
         return self.uri
