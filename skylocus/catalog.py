@@ -302,14 +302,17 @@ def stale_files(spark, sf_dir):
     return integrity.files(B.registry(spark, sf_dir), disk, "tile_id")
 
 
-@query("""WITH s AS (SELECT a.label, a.vec_id AS id0, b.vec_id AS id1, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS score
- FROM embeddings a JOIN embeddings b ON b.label = (a.label + 1) % 10),
+@query("""WITH e AS (SELECT *, vec_id // 200 AS image FROM embeddings),
+s AS (SELECT a.label, a.image, a.vec_id AS id0, b.vec_id AS id1, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score
+ FROM e a JOIN e b ON b.label = (a.label + 1) % 10 AND b.image = a.image),
 r AS (SELECT *, row_number() OVER (PARTITION BY id0 ORDER BY score DESC, id1) AS a, row_number() OVER (PARTITION BY id1 ORDER BY score DESC, id0) AS b FROM s)
-SELECT label, id0, id1, score FROM r WHERE a = 1 AND b = 1""")
+SELECT label, image, id0, id1, round(score, 4) AS score FROM r WHERE a = 1 AND b = 1""")
 def mutual_nn(spark, sf_dir):
-    e = B.table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
-    side = lambda label: e.select(label.cast("int").alias("label"), F.col("vec_id").alias("id"), F.col("embedding").alias("descriptor"))
-    return matching.create("mutual_nn")(side(F.col("label")), side(F.pmod(F.col("label") + 9, F.lit(10))), ["label"])
+    """Descriptors of labels next to each other, within images of 200 vectors."""
+    e = B.table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label").withColumn("image", F.expr("vec_id div 200"))
+    side = lambda label: e.select(label.cast("int").alias("label"), "image", F.col("vec_id").alias("id"), F.col("embedding").alias("descriptor"))
+    out = matching.mutual_nearest(side(F.col("label")), side(F.pmod(F.col("label") + 9, F.lit(10))), ["label", "image"])
+    return out.withColumn("score", F.round("score", 4))
 
 
 @query()
@@ -330,8 +333,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = B.table(spark, sf_dir, "events", "user_id", "event_id").groupBy("user_id").agg(F.max("event_id").alias("noise"))
     frames = frames.select(F.concat(F.lit("user_"), F.col("user_id")).alias("frame_id"), "noise")
     pairs = frames.crossJoin(F.broadcast(tiles)).withColumn("h", h)  # a frame meets each tile of its pool: 12 rows, by construction
-    points = matching.create("oracle")(pairs, n_points=100, sigma=0.3)
-    evaluated = localize.candidates(points, tiles, (B.FRAME_W, B.FRAME_H), (1280, 1024), homography.Ransac())
+    matches = matching.oracle(pairs, n_points=100, sigma=0.3)
+    evaluated = localize.candidates(matches, tiles, (B.FRAME_W, B.FRAME_H), (1280, 1024), homography.Ransac())
     return localize.positions(evaluated)
 
 

@@ -123,13 +123,31 @@ def convex(quad: list[tuple[Column, Column]]) -> Column:
     return (F.least(*turns) > 0) | (F.greatest(*turns) < 0)
 
 
-def reasons(*checks: tuple[str, Column]) -> Column:
-    """The codes of the checks that hold, in order."""
-    return F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for code, c in checks]), lambda x: x.isNotNull())
+def reason_mask(*checks: Column) -> Column:
+    """A bit for each check that holds, the first the lowest; a null check doesn't hold."""
+    mask = F.lit(0)
+    for k, check in enumerate(checks):
+        mask = mask + F.when(check, 1 << k).otherwise(0)
+    return mask
+
+
+def reason_codes(mask: Column, names: list[str], alone: str | None = None) -> Column:
+    """The names of a mask's bits, in order; ``alone`` is that of a bit above, which comes without others.
+
+    Looked up in a constant table, which Spark generates code for.
+    """
+    table = [F.array(*[F.lit(n) for k, n in enumerate(names) if m >> k & 1]).cast("array<string>") for m in range(1 << len(names))]
+    if alone is not None:
+        table.append(F.array(F.lit(alone)))
+    return F.get(F.array(*table), mask)
+
+
+#: What makes a homography implausible, in order.
+IMPLAUSIBLE = ["infinity", "reflection", "not_convex", "anisotropy", "scale"]
 
 
 def diagnose(df: DataFrame, h: Column, width: Column, height: Column, expected_scale: float | None = 0.27, tolerance: float = 2.0, max_anisotropy: float = 1.5) -> DataFrame:
-    """Add ``h_scale``, ``h_rotation_deg``, ``h_anisotropy``, ``h_det``, ``reasons`` (codes of what makes a homography implausible) and ``plausible``; null without one."""
+    """Add ``h_scale``, ``h_rotation_deg``, ``h_anisotropy``, ``h_det``, ``reasons`` (of ``IMPLAUSIBLE``) and ``plausible``; null without a homography."""
     quad = corners(width, height)
     out = with_spread(df, h, *center(width, height))
     out = out.withColumns({f"__w{k}": denominator(h, x, y) for k, (x, y) in enumerate(quad)})
@@ -140,14 +158,16 @@ def diagnose(df: DataFrame, h: Column, width: Column, height: Column, expected_s
             image[f"__{axis}{k}"] = F.when(zero, 0.0).otherwise(_dot(h, row, x, y) / F.when(zero, None).otherwise(F.col(f"__w{k}")))
     out = out.withColumns(image)
     w = [F.col(f"__w{k}") for k in range(4)]
-    checks = [
-        ("infinity", ~((F.least(*w) > 0) | (F.greatest(*w) < 0))),
-        ("reflection", ~F.coalesce(F.col("h_det") > 0, F.lit(False))),
-        ("not_convex", ~convex([(F.col(f"__x{k}"), F.col(f"__y{k}")) for k in range(4)])),
-        ("anisotropy", F.coalesce(F.col("h_anisotropy") > max_anisotropy, F.lit(True))),
-    ]
+    in_scale = F.lit(True)
     if expected_scale is not None:
-        low, high = expected_scale / tolerance, expected_scale * tolerance
-        checks.append(("scale", ~F.coalesce(F.col("h_scale").between(lit(low), lit(high)), F.lit(False))))
-    out = out.withColumn("reasons", F.when(h.isNotNull(), reasons(*checks))).withColumn("plausible", F.size("reasons") == 0)
+        in_scale = F.coalesce(F.col("h_scale").between(lit(expected_scale / tolerance), lit(expected_scale * tolerance)), F.lit(False))
+    mask = reason_mask(
+        ~((F.least(*w) > 0) | (F.greatest(*w) < 0)),
+        ~F.coalesce(F.col("h_det") > 0, F.lit(False)),
+        ~convex([(F.col(f"__x{k}"), F.col(f"__y{k}")) for k in range(4)]),
+        F.coalesce(F.col("h_anisotropy") > max_anisotropy, F.lit(True)),
+        ~in_scale,
+    )
+    out = out.withColumn("__mask", F.when(h.isNotNull(), mask))
+    out = out.withColumns({"reasons": reason_codes(F.col("__mask"), IMPLAUSIBLE), "plausible": F.col("__mask") == 0}).drop("__mask")
     return out.drop(*image, *[f"__w{k}" for k in range(4)])

@@ -1,13 +1,15 @@
-"""Robust homographies from point correspondences, one group of points at a time."""
+"""Robust homographies from point correspondences, a pair of images to a row."""
 
 from __future__ import annotations
 
 import math
+import time
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,39 +71,71 @@ def errors(h: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.linalg.norm(image - q, axis=1)
 
 
-def _from_four(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Homographies (k, 9) of k samples of four points, and which samples are sound."""
-    k = len(p)
-    x, y, u, v = p[..., 0], p[..., 1], q[..., 0], q[..., 1]
-    one, zero = np.ones_like(x), np.zeros_like(x)
-    a = np.concatenate([
-        np.stack([x, y, one, zero, zero, zero, -u * x, -u * y], -1),
-        np.stack([zero, zero, zero, x, y, one, -v * x, -v * y], -1),
-    ], axis=1)
-    b = np.concatenate([u, v], axis=1)[..., None]
-
-    def areas(z: np.ndarray) -> np.ndarray:
-        out = []
-        for i, j, l in ((0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3)):
-            d, e = z[:, j] - z[:, i], z[:, l] - z[:, i]
-            out.append(np.abs(d[:, 0] * e[:, 1] - d[:, 1] * e[:, 0]))
-        return np.min(out, axis=0)
-
-    sound = (areas(p) > 1e-3) & (areas(q) > 1e-3)
-    a[~sound] = np.eye(8)
-    det = np.abs(np.linalg.det(a))
-    a[det < 1e-12] = np.eye(8)
-    h = np.linalg.solve(a, b)[..., 0]
-    return np.concatenate([h, np.ones((k, 1))], axis=1), sound & (det >= 1e-12)
+def _areas(z: np.ndarray) -> np.ndarray:
+    """Twice the signed areas (k, 4) of the triangles that three of four points (k, 4, 2) make: with the fourth in place of each of the first three, and those three."""
+    x, y = z[..., 0].T, z[..., 1].T
+
+    def twice(i: int, j: int, k: int) -> np.ndarray:
+        return (x[j] - x[i]) * (y[k] - y[i]) - (y[j] - y[i]) * (x[k] - x[i])
+
+    return np.stack([twice(3, 1, 2), twice(0, 3, 2), twice(0, 1, 3), twice(0, 1, 2)], axis=1)
+
+
+def _sound(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Which samples have no flat triangle, and turn either all triangles around or none."""
+    turned = (s < 0) != (t < 0)
+    return (np.abs(s).min(axis=1) > 1e-3) & (np.abs(t).min(axis=1) > 1e-3) & (turned.all(axis=1) | ~turned.any(axis=1))
+
+
+def _from_four(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Homographies (k, 3, 3), each of some scale, of k samples of four points.
+
+    The areas of the triangles are the coefficients of the fourth point in the basis of
+    the others, on either side, and the homography takes one basis to the other.
+    """
+    one = np.ones((*p.shape[:2], 1))
+    a, b, s, t = np.concatenate([p, one], axis=2), np.concatenate([q, one], axis=2), _areas(p), _areas(q)
+    # the basis change, without divisions: coefficient k on the right times the others on the left
+    scale = t[:, :3] * np.stack([s[:, 1] * s[:, 2], s[:, 0] * s[:, 2], s[:, 0] * s[:, 1]], axis=1)
+    dual = np.stack([np.cross(a[:, 1], a[:, 2]), np.cross(a[:, 2], a[:, 0]), np.cross(a[:, 0], a[:, 1])], axis=1)
+    h = (b[:, :3] * scale[..., None]).transpose(0, 2, 1) @ dual
+    return h / np.abs(h).max(axis=(1, 2), keepdims=True)
+
+
+def _four_of(rng: np.random.Generator, n: int, k: int) -> np.ndarray:
+    """``k`` samples of four distinct numbers below ``n``: each is drawn from those left, and moved past the ones before it."""
+    out = np.empty((k, 4), np.int64)
+    for j in range(4):
+        x = rng.integers(0, n - j, k)
+        for taken in np.sort(out[:, :j], axis=1).T:
+            x += x >= taken
+        out[:, j] = x
+    return out
+
+
+def _consensus(h: np.ndarray, p: np.ndarray, q: np.ndarray, reach: float) -> np.ndarray:
+    """How many points each of ``h`` takes to within ``reach`` of their images; distances are compared times the denominators."""
+    x = np.concatenate([p, np.ones((len(p), 1))], axis=1).T.astype(np.float32)
+    m = (h.reshape(-1, 3).astype(np.float32) @ x).reshape(len(h), 3, -1)
+    w = m[:, 2]
+    qx, qy = q.T.astype(np.float32)
+    u, v = m[:, 0] - qx * w, m[:, 1] - qy * w
+    return (u * u + v * v <= np.float32(reach * reach) * (w * w)).sum(axis=1)
+
+
+#: Distances of points and samples that are compared at a time.
+AT_ONCE = 1 << 16
 
 
 def estimate(p: np.ndarray, q: np.ndarray, config: Ransac = Ransac(), key: str = "") -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
     """Homography, inlier mask and errors of all points; no homography below four points or without consensus.
 
-    Samples of four in batches until the confidence is reached, then three refits on the
-    inliers; the mask is that of the final homography. The samples depend on the seed and
-    ``key`` alone. USAC_MAGSAC weighs the refits' points by their errors, softly, which
-    approximates that method.
+    Sound samples of four, drawn alike for any number of points, until the confidence or
+    the most iterations are reached, then three refits on the inliers; the mask is that
+    of the final homography. The samples depend on the seed and ``key`` alone; draws that
+    aren't sound are no iterations, but ten times as many draws are the end. Consensus is
+    counted in single precision about the points' middle, all else in double.
+    USAC_MAGSAC weighs the refits' points by their errors, softly, which approximates it.
     """
     n = len(p)
     nothing = None, np.zeros(n, bool), np.full(n, np.nan)
@@ -109,28 +143,35 @@ def estimate(p: np.ndarray, q: np.ndarray, config: Ransac = Ransac(), key: str =
         return nothing
     entropy = None if config.seed is None else [config.seed, zlib.crc32(key.encode())]
     rng = np.random.default_rng(entropy)
-    x = np.column_stack([p, np.ones(n)])
-    best, most, need, tried = None, 3, config.max_iters, 0
-    batch = max(1, min(64, (1 << 22) // n))
-    while tried < need:
-        sample = rng.random((batch, n)).argpartition(3, axis=1)[:, :4] if n < 512 else rng.integers(0, n, (batch, 4))
-        h, sound = _from_four(p[sample], q[sample])
-        m = h.reshape(-1, 3, 3) @ x.T
-        with np.errstate(all="ignore"):
-            d = np.hypot(m[:, 0] / m[:, 2] - q[:, 0], m[:, 1] / m[:, 2] - q[:, 1])
-        near = np.where(sound, (d <= config.threshold).sum(1), 0)
-        tried += batch
+    one = np.ones(n)
+    tp, tq = _normaliser(p, one), _normaliser(q, one)
+    a, b = _move(tp, p), _move(tq, q)
+    reach = config.threshold * tq[0, 0]
+    best, most, need, tried, drawn = None, 3, config.max_iters, 0, 0
+    batch = max(64, min(2048, 4 * AT_ONCE // n))
+    while tried < need and drawn < 10 * config.max_iters:
+        sample = _four_of(rng, n, batch)
+        drawn += batch
+        sample = sample[_sound(_areas(p[sample]), _areas(q[sample]))]
+        if not len(sample):
+            continue
+        h = _from_four(a[sample], b[sample])
+        near = _consensus(h, a, b, reach)
+        tried += len(sample)
         k = int(near.argmax())
         if near[k] > most:
-            best, most = h[k].reshape(3, 3), int(near[k])
+            best, most = h[k], int(near[k])
             miss = 1 - (most / n) ** 4
             need = 0 if miss <= 0 else min(config.max_iters, math.ceil(math.log(1 - config.confidence) / math.log(miss)))
+    if best is None:
+        return nothing
+    best = _scaled(np.linalg.inv(tq) @ best @ tp)
     if best is None:
         return nothing
     for _ in range(3):
         e = errors(best, p, q)
-        reach = config.threshold if config.method == "RANSAC" else 2 * config.threshold
-        mask = e <= reach
+        far = config.threshold if config.method == "RANSAC" else 2 * config.threshold
+        mask = e <= far
         if mask.sum() < 4:
             break
         weight = None if config.method == "RANSAC" else np.exp(-0.5 * (e[mask] / config.threshold) ** 2)
@@ -145,22 +186,49 @@ def estimate(p: np.ndarray, q: np.ndarray, config: Ransac = Ransac(), key: str =
     return best, e <= config.threshold, e
 
 
-def homographies(points: DataFrame, by: list[str], config: Ransac = Ransac()) -> DataFrame:
-    """For each group of correspondences (``x0 y0 x1 y1``): ``h``, ``matches``, ``inliers``, ``reproj_mean``, ``reproj_median``, ``reproj_max``.
+POINTS = ["x0", "y0", "x1", "y1"]
+FOUND = "h array<double>, matches long, inliers long, reproj_mean double, reproj_median double, reproj_rmse double, reproj_max double, inlier_mask array<boolean>, time_ransac double"
 
-    A group is the matches of two images, some thousands at most. Groups below four points
-    never reach Python. Errors are those of the inliers; nulls where nothing was found.
+
+def solve(pairs: DataFrame, by: list[str], config: Ransac = Ransac(), with_mask: bool = False) -> DataFrame:
+    """Each row's columns but its points (arrays ``x0 y0 x1 y1``), and ``FOUND`` (the mask if wanted).
+
+    A row is the matches of two images, some thousands at most; ``by`` names what it is
+    known by, which seeds its samples. Many rows are solved in an Arrow batch, where they
+    are: nothing is shuffled. Errors are those of the inliers; nulls where nothing was
+    found, null points are none, and an empty table gives no rows.
     """
-    names = [f"`{c}` {points.schema[c].dataType.simpleString()}" for c in by]
-    schema = ", ".join([*names, "h array<double>", "matches long", "inliers long", "reproj_mean double", "reproj_median double", "reproj_max double"])
-
-    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["idx", "x0", "y0", "x1", "y1"], kind="stable")
-        p, q = pdf[["x0", "y0"]].to_numpy(float), pdf[["x1", "y1"]].to_numpy(float)
-        h, mask, e = estimate(p, q, config, repr(tuple(map(str, key))))
-        own = e[mask]
-        stats = [float(f(own)) for f in (np.mean, np.median, np.max)] if len(own) else [None] * 3
-        row = [*key, None if h is None else h.ravel().tolist(), len(p), int(mask.sum()), *stats]
-        return pd.DataFrame([row], columns=[*by, "h", "matches", "inliers", "reproj_mean", "reproj_median", "reproj_max"])
-
-    return points.select(*by, "idx", "x0", "y0", "x1", "y1").groupBy(*by).applyInPandas(solve, schema)
+    kept = [c for c in pairs.columns if c not in POINTS]
+    found = pa.schema([
+        ("h", pa.list_(pa.float64())), ("matches", pa.int64()), ("inliers", pa.int64()), *[(f"reproj_{x}", pa.float64()) for x in ("mean", "median", "rmse", "max")],
+        ("inlier_mask", pa.list_(pa.bool_())), ("time_ransac", pa.float64()),
+    ])
+
+    def solved(key: str, points: list[list[float] | None]) -> dict:
+        p0, p1, q0, q1 = (np.array(x or [], float) for x in points)
+        began = time.perf_counter()
+        h, mask, e = estimate(np.column_stack([p0, p1]), np.column_stack([q0, q1]), config, key)
+        took, own = time.perf_counter() - began, e[mask]
+        stats = [float(x) for x in (own.mean(), np.median(own), np.sqrt((own**2).mean()), own.max())] if len(own) else [None] * 4
+        row = [None if h is None else h.ravel().tolist(), len(p0), int(mask.sum()), *stats, mask.tolist() if with_mask else None, took]
+        return dict(zip(found.names, row, strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in by), strict=True)
+            points = zip(*(batch.column(c).to_pylist() for c in POINTS), strict=True)
+            rows = [solved(repr(tuple(map(str, k))), x) for k, x in zip(keys, points, strict=True)]
+            out = pa.RecordBatch.from_pylist(rows, schema=found)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *out.columns], [*kept, *found.names])
+
+    schema = ", ".join([*(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in kept), FOUND])
+    out = pairs.select(*[f"`{c}`" for c in kept], *POINTS).mapInArrow(run, schema)
+    return out if with_mask else out.drop("inlier_mask")
+
+
+def homographies(points: DataFrame, by: list[str], config: Ransac = Ransac()) -> DataFrame:
+    """``solve`` for a table of single correspondences (``by``, ``idx``, ``x0 y0 x1 y1``): a group is the matches of two images."""
+    struct = F.struct(F.col("idx"), *POINTS)
+    rows = points.groupBy(*by).agg(F.sort_array(F.collect_list(struct)).alias("points"))
+    rows = rows.select(*by, *[F.col(f"points.{c}").alias(c) for c in POINTS])
+    return solve(rows, by, config)

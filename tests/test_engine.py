@@ -154,16 +154,182 @@ def test_no_fit():
         homography.Ransac("LMEDS")
 
 
+def test_samples_are_four_distinct_points_drawn_alike():
+    r = np.random.default_rng(5)
+    assert (np.sort(homography._four_of(r, 4, 500), axis=1) == np.arange(4)).all()
+    drawn = homography._four_of(r, 600, 60_000)
+    assert (np.diff(np.sort(drawn, axis=1), axis=1) > 0).all()
+    counts = np.bincount(drawn.ravel(), minlength=600)
+    assert abs(counts.mean() - 400) < 1e-9 and counts.std() < 30
+    pairs = np.bincount(homography._four_of(r, 6, 60_000)[:, 3], minlength=6)
+    assert abs(pairs - 10_000).max() < 500
+
+
+def test_homography_of_four_points():
+    r = np.random.default_rng(6)
+    h = np.array([[0.3, -0.02, 20], [0.05, 0.25, 100], [1e-5, -2e-5, 1]])
+    p = r.random((50, 4, 2)) * [1919, 1079]
+    q = image(h, p.reshape(-1, 2)).reshape(p.shape)
+    sound = homography._sound(homography._areas(p), homography._areas(q))
+    assert sound.sum() > 45
+    for m in homography._from_four(p[sound], q[sound]):
+        assert np.allclose(m / m[2, 2], h, rtol=1e-6)
+    mirrored = q * [-1, 1]
+    # all triangles turn around in a mirror, and some but not all in a twist
+    assert homography._sound(homography._areas(p), homography._areas(mirrored))[sound].all()
+    assert not homography._sound(homography._areas(p), homography._areas(q[:, [1, 0, 2, 3]]))[sound].all()
+
+
+@pytest.mark.parametrize("n", [100, 511, 512, 2000])
+def test_consensus_is_that_of_all_samples(n):
+    """The homography found has as many inliers as the best of plain samples, one after the other."""
+    _, p, q, _ = noisy(n, 0.5, n)
+    _, mask, _ = homography.estimate(p, q)
+    r, best = np.random.default_rng(9), 0
+    for _ in range(200):
+        four = r.choice(n, 4, replace=False)
+        h = homography.fit(p[four], q[four])
+        if h is not None:
+            best = max(best, int((homography.errors(h, p, q) <= 3).sum()))
+    assert mask.sum() >= 0.99 * best
+
+
+def test_groups_and_rows_agree(spark):
+    _, p, q, _ = noisy(60, 0.3, 4)
+    rows = [("f", f"t{t}", k, *p[k].tolist(), *q[k].tolist()) for t in range(3) for k in range(60 if t < 2 else 3)]
+    names = ["frame_id", "tile_id", "idx", "x0", "y0", "x1", "y1"]
+    points = spark.createDataFrame(rows, names)
+    by = ["frame_id", "tile_id"]
+    got = {r.tile_id: r for r in homography.homographies(points.repartition(5), by).collect()}
+    assert got["t0"].matches == 60 and got["t2"].h is None and got["t2"].matches == 3
+    arrays = points.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("idx", "x0", "y0", "x1", "y1"))).alias("z")).select(*by, *[F.col(f"z.{c}").alias(c) for c in homography.POINTS])
+    again = {r.tile_id: r for r in homography.solve(arrays, by, with_mask=True).collect()}
+    assert again["t1"].h == got["t1"].h and sum(again["t1"].inlier_mask) == got["t1"].inliers
+    assert homography.solve(arrays.limit(0), by).collect() == []
+    nothing = homography.solve(arrays.limit(1).withColumn("x0", F.lit(None).cast("array<double>")).withColumn("y0", F.col("x0")).withColumn("x1", F.col("x0")).withColumn("y1", F.col("x0")), by).first()
+    assert nothing.h is None and nothing.matches == 0
+
+
 def test_mutual_nn(spark):
     r = np.random.default_rng(4)
     a, b = r.normal(size=(40, 8)), r.normal(size=(50, 8))
     df = lambda m: spark.createDataFrame([(0, k, v.tolist()) for k, v in enumerate(m)], "label int, id long, descriptor array<double>")
-    got = {(x.id0, x.id1) for x in matching.create("Mutual_NN")(df(a), df(b), ["label"]).collect()}
-    s = np.round(a @ b.T, matching.DIGITS)
+    got = {(x.id0, x.id1) for x in matching.mutual_nearest(df(a), df(b), ["label"]).collect()}
+    s = a @ b.T
     assert got == {(i, j) for i in range(40) for j in range(50) if s[i].argmax() == j and s[:, j].argmax() == i}
-    assert matching.create("mutual_nn")(df(a).limit(0), df(b), ["label"]).count() == 0
+    assert matching.mutual_nearest(df(a).limit(0), df(b), ["label"]).count() == 0
+
+
+def test_mutual_ties_and_near_ties(monkeypatch):
+    a = np.array([[1.0, 0], [1.0, 0], [0, 1 + 1e-6]])
+    b = np.array([[1.0, 0], [0, 1.0], [0, 1 + 1e-7]])
+    for block in (1 << 22, 1):
+        monkeypatch.setattr(matching, "BLOCK", block)
+        i, j, _ = matching.mutual(a, b)
+        assert list(zip(i.tolist(), j.tolist(), strict=True)) == [(0, 0), (2, 2)]
+
+
+class Counting(matching.ImageMatcher):
+    """Finds nothing but counts; a frame of one colour is an error."""
+
+    name = "counting"
+    size_multiple = 8
+
+    def _extract(self, image):
+        return {"points": np.zeros((0, 2)), "scores": np.zeros(0), "descriptors": np.zeros((0, 4))}
+
+    def _match(self, first, second):
+        return np.zeros((0, 2)), np.zeros((0, 2)), np.zeros(0)
+
+
+def test_matcher_protocol():
+    matching.register(Counting)
+    m = matching.create("COUNTING")
+    assert m.config() == {"name": "counting", "device": "cpu", "size_multiple": 8}
+    with pytest.raises(ValueError):
+        m.extract(np.zeros((10, 16, 3), np.uint8))
+    with pytest.raises(ValueError):
+        m.extract(np.zeros((16, 16), np.uint8))
+    with pytest.raises(ValueError):
+        m.extract(np.zeros((16, 16, 3)))
+    p, q, conf, took = m.match(np.zeros((16, 16, 3), np.uint8), np.zeros((8, 8, 3), np.uint8))
+    assert p.shape == q.shape == (0, 2) and conf.dtype == np.float32 and took >= 0
+    m.warmup((16, 8), (8, 8), 1)
     with pytest.raises(ValueError):
         matching.create("nothing")
+    assert matching.create("Corners", max_keypoints=5).config()["max_keypoints"] == 5
+
+
+@pytest.mark.parametrize(("k", "multiple"), [(1, 1), (1.5, 1), (1, 8), (0.75, 8)])
+def test_matches_are_in_original_pixels(spark, k, multiple):
+    """Whatever the working scale and the sides' multiples, a known homography comes back at the corners."""
+    from skylocus.operators import imaging
+
+    true, size = similarity(0.27, 5, 20, 110), (1920, 1080)
+    r = np.random.default_rng(7)
+    p = r.random((300, 2)) * [1919, 1079]
+    q = image(true, p)
+    q[:90] = r.random((90, 2)) * 511
+    (fw, fh), (tw, th) = imaging.scaled_size(*size, 0.27 * k, multiple), imaging.scaled_size(512, 512, k, multiple)
+
+    class Oracle(matching.ImageMatcher):
+        name = "oracle"
+
+        def _extract(self, image):
+            raise AssertionError
+
+        def _match(self, first, second):
+            to_work = lambda x, sx, sy: (x + 0.5) * [sx, sy] - 0.5
+            return to_work(p, fw / 1920, fh / 1080), to_work(q, tw / 512, th / 512), np.ones(300)
+
+    features = lambda i, w, h, ow, oh: spark.createDataFrame([(i, [0.0], [0.0], [1.0], [1.0], 1, w, h, ow, oh, 0.5)], matching.FEATURES)
+    pairs = spark.createDataFrame([("f", "t", 9)], "frame_id string, tile_id string, extra int")
+    out = matching.match(pairs, features("f", fw, fh, *size), features("t", tw, th, 512, 512), Oracle(), cached=True)
+    row = homography.solve(out, ["frame_id", "tile_id"]).first()
+    corners = np.array([[0, 0], [1919, 0], [1919, 1079], [0, 1079.0]])
+    assert np.abs(image(np.array(row.h).reshape(3, 3), corners) - image(true, corners)).max() < 1e-3
+    assert (row.extra, row.frame_w, row.time_extract_frame, row.time_extract_tile) == (9, 1920, 0.5, 0.0)
+    with pytest.raises(Exception, match="no features"):
+        matching.match(pairs.withColumn("tile_id", F.lit("u")), features("f", fw, fh, *size), features("t", tw, th, 512, 512), Oracle()).collect()
+
+
+def test_outcome(spark):
+    rows = [(None, 3, 0, None, []), (None, 4, 0, None, []), ([1.0], 20, 14, True, []), ([1.0], 20, 15, False, ["scale", "anisotropy"]), ([1.0], 20, 15, True, [])]
+    df = spark.createDataFrame(rows, "h array<double>, matches long, inliers long, plausible boolean, reasons array<string>")
+    cols = [F.col(c) for c in df.columns]
+    got = [tuple(r) for r in df.select(*scoring.outcome(*cols)).collect()]
+    assert got == [(False, "fewer than 4 matches"), (False, "no homography"), (False, "inliers 14 < 15"), (False, "scale; anisotropy"), (True, "")]
+    assert df.select(scoring.outcome(*cols, check_plausibility=False)[0]).collect()[3][0]
+
+
+def test_unknown_tile_raises(spark):
+    from skylocus.plans import localize
+
+    tiles = tiling.grid(spark, 1280, 1024)
+    pairs = spark.createDataFrame([("tile_0001.png",), ("tile_9999.png",)], "tile_id string")
+    assert localize.with_tiles(pairs.limit(1), tiles).first().x_origin == 0
+    with pytest.raises(Exception, match="unknown tile tile_9999.png"):
+        localize.with_tiles(pairs, tiles).select("tile_id").collect()
+
+
+def test_reason_codes(spark):
+    names = ["a", "b", "c"]
+    df = spark.range(9).select(G.reason_codes(F.col("id").cast("int"), names, "alone").alias("r"))
+    assert [r.r for r in df.collect()] == [[n for k, n in enumerate(names) if m >> k & 1] for m in range(8)] + [["alone"]]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 30_001])
+def test_medians_are_exact(spark, n):
+    from skylocus.operators import quantiles
+
+    r = np.random.default_rng(n)
+    values = {"x": np.round(r.normal(size=n), 2), "y": r.normal(size=n), "z": np.where(np.arange(n) % 3 == 0, 7.0, r.normal(size=n))}
+    rows = [("g", *(float(values[c][k]) for c in "xyz"), None) for k in range(n)] + [("h", 1.0, 2.0, None, None)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, z double, w double").repartition(7)
+    got = {r.g: r for r in quantiles.medians(df, ["g"], ["x", "y", "z", "w"]).collect()}
+    assert [got["g"][f"{c}_median"] for c in "xyz"] == [float(np.median(values[c])) for c in "xyz"]
+    assert got["g"].w_median is None and got["h"].y_median == 2.0 and got["h"].z_median is None
+    assert quantiles.medians(df.limit(0), ["g"], ["x"]).collect() == []
 
 
 def test_tile_violations(spark):
