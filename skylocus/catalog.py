@@ -333,7 +333,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = B.table(spark, sf_dir, "events", "user_id", "event_id").groupBy("user_id").agg(F.max("event_id").alias("noise"))
     frames = frames.select(F.concat(F.lit("user_"), F.col("user_id")).alias("frame_id"), "noise")
     pairs = frames.crossJoin(F.broadcast(tiles)).withColumn("h", h)  # a frame meets each tile of its pool: 12 rows, by construction
-    matches = matching.oracle(pairs, n_points=100, sigma=0.3)
+    matches = matching.oracle(localize.spread(pairs), n_points=100, sigma=0.3)
     evaluated = localize.candidates(matches, tiles, (B.FRAME_W, B.FRAME_H), (1280, 1024), homography.Ransac())
     return localize.positions(evaluated)
 
@@ -343,9 +343,16 @@ def localize_flagship(spark, sf_dir):
     return flagship(spark, sf_dir)
 
 
+def _all() -> None:
+    """The other modules' queries register themselves here."""
+    from skylocus import catalog_files, catalog_rows  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)

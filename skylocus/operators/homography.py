@@ -72,45 +72,53 @@ def errors(h: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _areas(z: np.ndarray) -> np.ndarray:
-    """Twice the signed areas (k, 4) of the triangles that three of four points (k, 4, 2) make: with the fourth in place of each of the first three, and those three."""
-    x, y = z[..., 0].T, z[..., 1].T
+    """Twice the signed areas (4, k) of the triangles that three of four points (4, k, 2) make: with the fourth in place of each of the first three, and those three."""
+    x, y = z[..., 0], z[..., 1]
 
     def twice(i: int, j: int, k: int) -> np.ndarray:
         return (x[j] - x[i]) * (y[k] - y[i]) - (y[j] - y[i]) * (x[k] - x[i])
 
-    return np.stack([twice(3, 1, 2), twice(0, 3, 2), twice(0, 1, 3), twice(0, 1, 2)], axis=1)
+    return np.stack([twice(3, 1, 2), twice(0, 3, 2), twice(0, 1, 3), twice(0, 1, 2)])
 
 
 def _sound(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     """Which samples have no flat triangle, and turn either all triangles around or none."""
     turned = (s < 0) != (t < 0)
-    return (np.abs(s).min(axis=1) > 1e-3) & (np.abs(t).min(axis=1) > 1e-3) & (turned.all(axis=1) | ~turned.any(axis=1))
+    alike = (turned[0] == turned[1]) & (turned[0] == turned[2]) & (turned[0] == turned[3])
+    return (np.abs(s).min(axis=0) > 1e-3) & (np.abs(t).min(axis=0) > 1e-3) & alike
 
 
 def _from_four(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Homographies (k, 3, 3), each of some scale, of k samples of four points.
+    """Homographies (k, 3, 3), each of some scale, of k samples of four points (4, k, 2).
 
     The areas of the triangles are the coefficients of the fourth point in the basis of
     the others, on either side, and the homography takes one basis to the other.
     """
-    one = np.ones((*p.shape[:2], 1))
-    a, b, s, t = np.concatenate([p, one], axis=2), np.concatenate([q, one], axis=2), _areas(p), _areas(q)
-    # the basis change, without divisions: coefficient k on the right times the others on the left
-    scale = t[:, :3] * np.stack([s[:, 1] * s[:, 2], s[:, 0] * s[:, 2], s[:, 0] * s[:, 1]], axis=1)
-    dual = np.stack([np.cross(a[:, 1], a[:, 2]), np.cross(a[:, 2], a[:, 0]), np.cross(a[:, 0], a[:, 1])], axis=1)
-    h = (b[:, :3] * scale[..., None]).transpose(0, 2, 1) @ dual
-    return h / np.abs(h).max(axis=(1, 2), keepdims=True)
+    s, t = _areas(p), _areas(q)
+    (x, y), (u, v) = np.moveaxis(p, 2, 0), np.moveaxis(q, 2, 0)
+    h = np.zeros((9, p.shape[1]))
+    for k, (i, j) in enumerate(((1, 2), (2, 0), (0, 1))):
+        # the basis change, without divisions: coefficient k on the right times the others on the left
+        scale = t[k] * s[i] * s[j]
+        # the plane through the other two points, as a row
+        row = y[i] - y[j], x[j] - x[i], x[i] * y[j] - x[j] * y[i]
+        for a, value in enumerate((u[k] * scale, v[k] * scale, scale)):
+            for b in range(3):
+                h[3 * a + b] += value * row[b]
+    return (h / np.abs(h).max(axis=0)).T.reshape(-1, 3, 3)
 
 
 def _four_of(rng: np.random.Generator, n: int, k: int) -> np.ndarray:
-    """``k`` samples of four distinct numbers below ``n``: each is drawn from those left, and moved past the ones before it."""
-    out = np.empty((k, 4), np.int64)
-    for j in range(4):
-        x = rng.integers(0, n - j, k)
-        for taken in np.sort(out[:, :j], axis=1).T:
-            x += x >= taken
-        out[:, j] = x
-    return out
+    """``k`` samples (4, k) of four distinct numbers below ``n``: each is drawn from those left, and moved past the ones before it, the smallest first."""
+    a, b, c, d = (rng.integers(0, n - j, k) for j in range(4))
+    b += b >= a
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    c += c >= low
+    c += c >= high
+    low, middle, high = np.minimum(low, c), np.maximum(low, np.minimum(high, c)), np.maximum(high, c)
+    for taken in (low, middle, high):
+        d += d >= taken
+    return np.stack([a, b, c, d])
 
 
 def _consensus(h: np.ndarray, p: np.ndarray, q: np.ndarray, reach: float) -> np.ndarray:
@@ -120,7 +128,8 @@ def _consensus(h: np.ndarray, p: np.ndarray, q: np.ndarray, reach: float) -> np.
     w = m[:, 2]
     qx, qy = q.T.astype(np.float32)
     u, v = m[:, 0] - qx * w, m[:, 1] - qy * w
-    return (u * u + v * v <= np.float32(reach * reach) * (w * w)).sum(axis=1)
+    near = u * u + v * v <= np.float32(reach * reach) * (w * w)
+    return np.bitwise_count(np.packbits(near, axis=1)).sum(axis=1, dtype=np.int64)
 
 
 #: Distances of points and samples that are compared at a time.
@@ -152,12 +161,12 @@ def estimate(p: np.ndarray, q: np.ndarray, config: Ransac = Ransac(), key: str =
     while tried < need and drawn < 10 * config.max_iters:
         sample = _four_of(rng, n, batch)
         drawn += batch
-        sample = sample[_sound(_areas(p[sample]), _areas(q[sample]))]
-        if not len(sample):
+        sample = sample[:, _sound(_areas(p[sample]), _areas(q[sample]))]
+        if not sample.size:
             continue
         h = _from_four(a[sample], b[sample])
         near = _consensus(h, a, b, reach)
-        tried += len(sample)
+        tried += sample.shape[1]
         k = int(near.argmax())
         if near[k] > most:
             best, most = h[k], int(near[k])

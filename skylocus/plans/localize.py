@@ -31,6 +31,13 @@ class Pipeline:
         return asdict(self)
 
 
+def spread(pairs: DataFrame) -> DataFrame:
+    """Pairs, before they have points, dealt to all cores: a pair is some bytes but takes some milliseconds, and adaptive execution would merge them by bytes."""
+    spark = pairs.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return pairs.repartition(n, "frame_id", "tile_id")
+
+
 def with_tiles(pairs: DataFrame, tiles: DataFrame) -> DataFrame:
     """The pairs with the registry's columns of their tiles; a tile that isn't in the registry raises."""
     registry = tiles.withColumnRenamed("tile_id", "__tile_id").withColumn("__known", F.lit(True))
@@ -78,7 +85,7 @@ def search(frames: DataFrame, tiles: DataFrame, pool: DataFrame, matcher: matchi
     """
     of_frames = matching.extract(frames, matcher, config.frame_scale)
     of_tiles = matching.extract(tiles, matcher, config.work_scale) if cached is None else cached
-    pairs = frames.select(F.col("image_id").alias("frame_id")).crossJoin(F.broadcast(pool.select("tile_id")))
+    pairs = spread(frames.select(F.col("image_id").alias("frame_id")).crossJoin(F.broadcast(pool.select("tile_id"))))
     matched = matching.match(pairs, of_frames, of_tiles, matcher, cached is not None)
     verified = verify(matched, pool, (F.col("frame_w"), F.col("frame_h")), config)
     return scoring.rank(evaluate(verified, map_size, gate), ["frame_id"], ["tile_ord"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import fnmatch
 import hashlib
 import posixpath
+import tempfile
 import uuid
 
 from pyarrow import fs
@@ -12,6 +13,16 @@ from pyarrow import fs
 CHUNK = 1 << 20
 
 
+def scratch(spark, kind: str) -> str:
+    """A fresh folder's name in the one that driver and executors share, which ``spark.checkpoint.dir`` names; one machine may use a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = tempfile.gettempdir()
+    return f"{shared.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def resolve(uri: str) -> tuple[fs.FileSystem, str]:
     if "://" not in uri and not uri.startswith("file:"):
         return fs.LocalFileSystem(), uri
