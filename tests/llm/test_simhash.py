@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 
 from skylocus.llm import simhash
@@ -126,3 +127,31 @@ def test_near_duplicates(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+@pytest.mark.parametrize("at_once", [1 << 20, 5])
+def test_components_of_chains_stars_and_graphs(spark, monkeypatch, at_once):
+    """Where a task holds all links it is done at once; else stars are drawn in rounds."""
+    monkeypatch.setattr(simhash, "LINKS_AT_ONCE", at_once)
+    r = random.Random(2)
+    chain = [(k, k + 1) for k in range(1000, 1060)]
+    star = [(5000, 5000 + k) for k in range(1, 80)]
+    graph = [(r.randrange(-300, 0), r.randrange(-300, 0)) for _ in range(200)]
+    links = chain + star + graph + [(7, 7), (1000, 1001), (1001, 1000)]
+    r.shuffle(links)
+    got = {x.node: x.root for x in simhash.components(spark.createDataFrame(links, "u long, v long").repartition(6)).collect()}
+    root = {x: x for link in links for x in link}
+    for _ in range(len(root)):
+        for u, v in links:
+            root[u] = root[v] = min(root[u], root[v])
+    assert got == {x: y for x, y in root.items() if x != y}
+    assert simhash.components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_links_are_contracted_some_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(simhash, "LINKS_AT_ONCE", 4)
+    links = pa.table({"u": [5, 4, 3, 2, 9, 8], "v": [4, 3, 2, 1, 8, 7]})
+    out = pa.Table.from_batches(simhash._contracted(iter(links.to_batches(max_chunksize=3))))
+    assert sorted(zip(out["u"].to_pylist(), out["v"].to_pylist(), strict=True)) == [(2, 1), (3, 1), (4, 1), (5, 1), (8, 7), (9, 7)]
