@@ -8,7 +8,8 @@ as often as the counts of both allow, conflicts between pieces of a class are
 resolved by their rank in the distributed sort, the gaps met shrink, and what is left
 sweeps again, or opens sequences where no gap is wide enough. This gives the same
 sequences as best fit piece by piece, but the sweeps handle runs, of which there are
-a few for each length up to the capacity, however many documents there are.
+a few for each length up to the capacity, however many documents there are. So all
+supersteps fit a task on an executor; as jobs of their own they would be some thousands.
 """
 
 from __future__ import annotations
@@ -34,7 +35,11 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int | None = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Tokenise the rows of ``docs`` and cut those longer than ``capacity``: a row for each piece."""
+    """Tokenise the rows of ``docs`` and cut those longer than ``capacity``: a row for each piece.
+
+    A null text is an empty one, which has its end id, or no piece without one; null ids
+    and repeated rows stay; an empty table gives no rows; other columns are ignored.
+    """
     with open(tokenizer_path, encoding="utf-8") as f:
         content = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -100,6 +105,24 @@ def plan(counts: dict[int, int], capacity: int) -> list[dict[str, int]]:
     return matches
 
 
+MATCHES = ["length", "first", "last", "each", "sequence", "filled"]
+
+
+def sweeps(counts: DataFrame, capacity: int) -> DataFrame:
+    """``plan`` for ``counts`` (length, n), a row for each length and so the capacity's number at most, in a task on an executor: ``MATCHES``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, int] = {}
+        for batch in batches:
+            held |= zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        found = plan(held, capacity)
+        if found:
+            yield pa.RecordBatch.from_pylist(found, schema=schema)
+
+    schema = pa.schema([(c, pa.int64()) for c in MATCHES])
+    return counts.select("length", "n").coalesce(1).mapInArrow(run, ", ".join(f"{c} long" for c in MATCHES))
+
+
 def pack(cut: DataFrame, capacity: int) -> DataFrame:
     """Place pieces (columns of ``pieces``) into sequences of ``capacity`` ids: adds ``sequence_id`` and ``offset``.
 
@@ -109,12 +132,9 @@ def pack(cut: DataFrame, capacity: int) -> DataFrame:
     """
     order = [F.col("length").desc(), F.col("doc_id").asc_nulls_first(), F.col("start").asc()]
     rows = common.ranked(cut.select("doc_id", "piece", "start", "length", "ids_crc32"), order)
-    # a row for each length, at most the capacity
-    counts = {int(r["length"]): int(r["n"]) for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    matches = plan(counts, capacity)
-    schema = "length long, first long, last long, each long, sequence long, filled long"
-    table = cut.sparkSession.createDataFrame([tuple(m.values()) for m in matches], schema).withColumnRenamed("length", "__length")
+    matches = sweeps(rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")), capacity)
     # a few matches for each length
+    table = common.checkpoint(matches).withColumnRenamed("length", "__length")
     out = rows.join(F.broadcast(table), (F.col("length") == F.col("__length")) & F.col("rank").between(F.col("first"), F.col("last")))
     turn = F.col("rank") - F.col("first")
     return out.select(
