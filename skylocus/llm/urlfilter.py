@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Rules of more characters than this in all aren't collected and broadcast, but joined.
 MAX_TRIE_CHARS = 32 << 20
 _HOST_END, _PATH_END = re.compile("[/?#]"), re.compile("[?#]")
@@ -101,10 +103,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
 
 
 def judge_by_join(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url", key: str = "page_id") -> DataFrame:
-    """As ``judge``, for rules too many to broadcast: distinct hosts meet the rules at each of their suffixes.
+    """As ``judge``, for rules too many to broadcast, by equal keys: a host's suffix and the beginning of a path.
 
-    Paths are compared with the rules of the host's suffixes only; a host's pages are
-    counted once for each rule that fits one of its suffixes.
+    A path is cut at the lengths that the rules of its host's suffixes have, so a page is
+    a row for each length that occurs there, however many rules its host has.
     """
     at = F.instr(F.col(url), "://")
     rest = F.when(at > 0, F.expr(f"substring(`{url}`, instr(`{url}`, '://') + 3)")).otherwise("")
@@ -114,13 +116,15 @@ def judge_by_join(pages: DataFrame, rules: DataFrame, default: str = "allow", ur
         "__row", "page_id", lower(F.regexp_extract("rest", "^[^/?#]*", 0)).alias("host"),
         F.regexp_extract("rest", "^[^/?#]*(/[^?#]*)?", 1).alias("path"),
     )
-    rows = rows.withColumn("path", F.coalesce("path", F.lit("")))
+    rows = common.checkpoint(rows.withColumn("path", F.coalesce("path", F.lit(""))))
     labels = F.split("host", "\\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     hosts = rows.select("host").distinct().select("host", F.explode(F.array_distinct(F.concat(suffixes, F.array(F.lit(""))))).alias("suffix"))
-    lowered = rules.select("verdict", lower(F.col("host")).alias("suffix"), F.col("path").alias("rule_path"))
-    fitting = hosts.join(lowered, "suffix")
-    found = rows.join(fitting, "host").filter(F.col("path").startswith(F.col("rule_path")))
+    lowered = rules.select("verdict", lower(F.col("host")).alias("suffix"), F.col("path").alias("beginning"))
+    lengths = lowered.groupBy("suffix").agg(F.collect_set(F.length("beginning")).alias("lengths"))
+    cut = rows.join(hosts.join(lengths, "suffix"), "host").withColumn("n", F.explode("lengths")).filter(F.col("n") <= F.length("path"))
+    cut = cut.select("__row", "suffix", F.substring("path", F.lit(1), F.col("n")).alias("beginning"))
+    found = cut.join(lowered, ["suffix", "beginning"]).withColumnRenamed("beginning", "rule_path")
     rank = F.struct(F.length("suffix") + F.length("rule_path"), F.length("suffix"), F.col("verdict") == "block")
     best = found.groupBy("__row").agg(F.max_by(F.struct(F.concat("suffix", "rule_path").alias("rule"), F.col("verdict")), rank).alias("best"))
     out = rows.join(best, "__row", "left")

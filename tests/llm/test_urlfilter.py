@@ -41,3 +41,13 @@ def test_empty_tables(spark):
     rules = spark.createDataFrame([], "verdict string, host string, path string")
     assert [tuple(x) for x in urlfilter.judge(pages, rules).collect()] == [(1, "a.net", "/", None, "allow")]
     assert urlfilter.judge(pages.limit(0), rules).collect() == []
+
+
+def test_join_of_a_host_with_very_many_rules(spark):
+    """A page of a host with thousands of rules is a row for each of their lengths, not for each rule."""
+    rules = spark.range(3000).selectExpr("'block' AS verdict", "'hot.org' AS host", "concat('/', lpad(id, 4, '0')) AS path").unionByName(
+        spark.createDataFrame([("allow", "org", "/00"), ("allow", "hot.org", "/0007/x")], "verdict string, host string, path string"))
+    pages = spark.range(2000).selectExpr("id AS page_id", "concat('http://www.hot.org/', lpad(id, 4, '0'), '/x') AS url")
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge_by_join(pages, rules).collect()}
+    assert len(got) == 2000 and got[7] == ("hot.org/0007/x", "allow") and got[8] == ("hot.org/0008", "block")
+    assert got == {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge(pages, rules).collect()}
