@@ -7,6 +7,21 @@ from . import mixing
 WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
 
+def op3() -> str:
+    # five hex digits are four characters of base 32
+    digit = "(('0x' || substr(hex, 1 + 5 * (k // 4), 5))::BIGINT >> (15 - 5 * (k % 4))) & 31"
+    return f"""
+WITH p AS (
+  SELECT page_id, sha1(coalesce(html, '')) AS hex, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages
+), f AS (
+  SELECT hex, min(page_id) AS first FROM p GROUP BY hex
+)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ({digit})::INT, 1)), '') AS payload_digest,
+       CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p JOIN f USING (hex)"""
+
+
 def op4() -> str:
     unit = mixing.UNIT
     return f"""
@@ -106,4 +121,4 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p L
 
 
 def sql() -> dict[str, str]:
-    return {"op4_systematic_mix": op4(), "op6_rule_ledger": op6(), "op9_url_trie": op9()}
+    return {"op3_warc_normaliser": op3(), "op4_systematic_mix": op4(), "op6_rule_ledger": op6(), "op9_url_trie": op9()}
