@@ -366,7 +366,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 4, errors: int = 4) -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest doc_id. Rows without an id stay."""
-    found = near_duplicates(docs, words=words, errors=errors).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
+    """``docs`` with one row of each component: that of its smallest doc_id. Rows without an id stay, and columns may have any names."""
+    found = near_duplicates(docs, words=words, errors=errors).filter("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("id"))
+    kept = rows.join(found, "id", "left_semi").dropDuplicates(["id"])
+    return kept.unionByName(rows.filter("id IS NULL")).select("doc.*")
