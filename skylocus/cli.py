@@ -65,6 +65,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--min-inliers", type=int, default=15)
     c.add_argument("--repeats", type=int, default=1)
     c.add_argument("--warmup", type=int, default=0)
+    c.add_argument("--figures-dir")
 
     c = commands.add_parser("summarize", help="summaries of an experiment")
     c.add_argument("--input", required=True)
@@ -137,7 +138,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         return int(n > 0)
     elif a.command == "evaluate":
         config = localize.Pipeline(a.frame_scale, a.work_scale, a.min_inliers, homography.Ransac(a.ransac_method, a.ransac_threshold))
-        rows = experiment.evaluate(spark, a.pairs, a.tiles_csv, a.frames_dir, a.tiles_dir, a.output, a.methods, config, a.repeats, a.warmup, a.device)
+        rows = experiment.evaluate(spark, a.pairs, a.tiles_csv, a.frames_dir, a.tiles_dir, a.output, a.methods, config, a.repeats, a.warmup, a.device, a.figures_dir)
         print(f"{rows.count()} rows in {a.output}")
     elif a.command == "summarize":
         print(*experiment.summarize(spark, a.input, a.output_dir), sep="\n")

@@ -13,6 +13,10 @@ from skylocus.plans import figures, localize
 from skylocus.sources import storage, tables
 
 
+#: Pixels of the map to each side of the centre in the closer figure.
+ZOOM = 700
+
+
 def candidate(with_footprint: bool = False) -> Column:
     """A candidate as a struct of what a reader wants to know of it."""
     c = F.col
@@ -102,6 +106,11 @@ def localize_frame(spark: SparkSession, frame_path: str, tiles_csv: str, tiles_d
         passed = [tuple(r) for r in ranked.filter("passed").select("x_origin", "y_origin", "width", "height").collect()]
         text = figures.located(rects, passed, summary["winner"], (map_w, map_h), view=roi_xyxy, title=f"{name} | {matcher.name}")
         storage.write(f"{figure_dir}/{stem}_global_loc.svg", text.encode())
+        if summary["winner"]:
+            x, y = summary["winner"]["center_map"]
+            near = (x - ZOOM, y - ZOOM, x + ZOOM, y + ZOOM)
+            text = figures.located(rects, passed, summary["winner"], (map_w, map_h), view=near, title=f"{name} | {matcher.name}")
+            storage.write(f"{figure_dir}/{stem}_global_loc_zoom.svg", text.encode())
     ranked.unpersist()
     return summary
 
