@@ -9,8 +9,10 @@ as five shingles either agree or differ in some twenty bits, so equal ones meet.
 each bucket all texts are compared with one another by signatures of min-wise values,
 but for pairs that others have joined already. What may be similar by these is a group
 of candidates, whose texts are then all compared by their shingles themselves. A large
-bucket or group is cut into blocks, and every two blocks are a task of their own, so no
-task holds all of it and no pairs become rows.
+bucket or group is cut into blocks, so no task holds all of it and no pairs become rows:
+first the texts of each block are compared, and with a few that all blocks have; then
+the texts that are not in the largest component by that, and only these, are compared
+with all others. So a group of copies that are all alike costs no more than its size.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, simhash
@@ -33,8 +35,8 @@ DRAWS, DRAWN = 16, 5
 VALUES = 256
 #: By how much the estimate may fall short of the similarity asked for: nearly five standard errors, as shingles are compared after it.
 SLACK = 0.14
-#: Members of a block of a large group, and bytes of their texts.
-BLOCK, BLOCK_BYTES = 1 << 12, 8 << 20
+#: Members of a block of a large group, and bytes of their texts; and members that all its blocks have, about.
+BLOCK, BLOCK_BYTES, SHARED = 1 << 10, 8 << 20, 16
 #: Shingles whose values are computed at a time.
 AT_ONCE = 1 << 12
 
@@ -127,50 +129,70 @@ def reached(signatures: np.ndarray, enough: float) -> tuple[list[int], list[int]
     return u, v
 
 
-def _dealt(members: DataFrame) -> DataFrame:
-    """``task`` and ``node``: all pairs in each ``group`` of ``members`` (group, node, blocks) meet in a task.
+def between(signatures: np.ndarray, enough: float, roots: np.ndarray, asks: np.ndarray) -> tuple[list[int], list[int]]:
+    """Links (u, v) from each row that ``asks`` to a row of each other root that agrees in ``enough`` values or more, if it has one among the others."""
+    u, v, others = [], [], np.flatnonzero(~asks)
+    rows = signatures[others]
+    for x in np.flatnonzero(asks).tolist():
+        found = others[(agreeing(rows, signatures[x]) >= enough) & (roots[others] != roots[x])]
+        found = found[np.unique(roots[found], return_index=True)[1]].tolist()
+        u += found
+        v += [x] * len(found)
+    return u, v
+
 
-    A group of several blocks is dealt to tasks of two blocks each, one for every pair of blocks.
+def _links(members: DataFrame, values: DataFrame, within, across) -> DataFrame:
+    """Links (u, v) that join what similarity joins in each ``group`` of ``members`` (group, blocks, node); ``values`` are (node, value).
+
+    ``within(values)`` and ``across(values, roots, asks)`` give links of the rows of a task.
+    A group of one block is a task. Of a larger one, each block is a task, which also has
+    some members that all blocks have. Members that aren't in the group's largest component
+    then ask all blocks; any other pair is in that component already.
     """
-    own = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
-    rows = members.withColumn("own", own)
-    all_others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own"))
-    rows = rows.withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(all_others)))
-    return rows.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "node")
+    home = members.withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
+    is_shared = F.pmod(F.xxhash64("node", F.lit("shared")), F.greatest(F.lit(1), F.col("blocks") * F.lit(BLOCK // SHARED))) == 0
+    shared = home.filter((F.col("blocks") > 1) & is_shared).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("at <> own")
+    rows = home.select(F.xxhash64("group", "own").alias("task"), "node").unionByName(shared.select(F.xxhash64("group", "at").alias("task"), "node"))
+    first = _by_task(rows.join(values, "node").select("task", "node", "value"), within)
+    if home.filter("blocks > 1").isEmpty():
+        return first
+    roots = simhash.components(first)
+    large = home.filter("blocks > 1").join(roots.withColumnRenamed("root", "other"), "node", "left").withColumn("root", F.coalesce("other", "node"))
+    counts = large.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.groupBy("group").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
+    large = common.checkpoint(large.select("group", "blocks", "node", "own", "root").join(largest, "group"))
+    asking = large.filter("root <> largest")
+    sizes = asking.join(values.select("node", F.octet_length("value").alias("bytes")), "node").groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    parts = large.join(sizes.select("group", _blocks("n", "bytes").alias("askers")), "group")
+    asked = parts.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("askers") - 1))).withColumn("i", F.col("own")).withColumn("asks", F.lit(False))
+    asking = parts.filter("root <> largest").withColumn("j", F.pmod(F.xxhash64("node", F.lit("asks")), F.col("askers")).cast("int"))
+    asking = asking.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
+    rows = asked.unionByName(asking.select(asked.columns)).select(F.xxhash64("group", "i", "j").alias("task"), "node", "root", "asks")
+    second = _by_task(rows.join(values, "node").select("task", "node", "value", "root", "asks"), across)
+    return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(second)
+
+
+def _blocks(n: str, size: str) -> Column:
+    """How many blocks so many members of so many bytes together make: one at least, and no more than members."""
+    return F.greatest(F.ceil(F.col(n) / BLOCK), F.least(F.col(n), F.ceil(F.coalesce(size, F.lit(0)) / BLOCK_BYTES)), F.lit(1)).cast("int")
 
 
 def _by_task(rows: DataFrame, of) -> DataFrame:
-    """Links (u, v) of ``of(values)`` for each task of ``rows`` (task, node, value); a task's rows are in one partition."""
-
-    def links_of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held)
-        task, nodes, values = rows["task"].to_numpy(), rows["node"].to_numpy(), rows["value"].to_pylist()
-        edges = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)]
-        us, vs = [], []
-        for lo, hi in zip(edges, edges[1:], strict=False):
-            if hi - lo > 1:
-                u, v = of(values[lo:hi])
-                us.append(nodes[lo:hi][u])
-                vs.append(nodes[lo:hi][v])
-        if us:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us), pa.int64()), pa.array(np.concatenate(vs), pa.int64())], ["u", "v"])
+    """Links (u, v) of ``of(values)`` for each task of ``rows`` (task, node, value, and what else ``of`` takes); a task's rows are in one partition."""
+    more = rows.columns[3:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            task = batch.column("task").to_numpy()
-            # the last task of a batch may go on in the next one
-            cut = int(np.searchsorted(task, task[-1]))
-            if held and (cut or held[-1].column("task")[-1].as_py() != task[-1]):
-                yield from links_of([*held, batch.slice(0, cut)])
-                held = []
-            elif cut:
-                yield from links_of([batch.slice(0, cut)])
-            held.append(batch.slice(cut))
-        if held:
-            yield from links_of(held)
+        for part in common.whole_groups(batches, "task", 1):
+            task, nodes, values, rest = part["task"].to_numpy(), part["node"].to_numpy(), part["value"].to_pylist(), [part[c].to_numpy() for c in more]
+            edges = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)]
+            us, vs = [], []
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if hi - lo > 1:
+                    u, v = of(values[lo:hi], *(x[lo:hi] for x in rest))
+                    us.append(nodes[lo:hi][u])
+                    vs.append(nodes[lo:hi][v])
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us), pa.int64()), pa.array(np.concatenate(vs), pa.int64())], ["u", "v"])
 
     return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "u long, v long")
 
@@ -187,9 +209,12 @@ def candidate_links(classes: DataFrame, similarity: float, errors: int = 4) -> D
     sets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *(F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"set{k}") for k in (0, 1)))
     sets = sets.filter("n > 1").select("bucket", F.xxhash64("n", "set0", "set1").alias("group"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     meetings = common.checkpoint(members.join(sets, "bucket").select("group", "blocks", "node").distinct())
-    rows = _dealt(meetings).join(classes.select("node", F.col("signature").alias("value")), "node").select("task", "node", "value")
     enough = enough_values(similarity - SLACK)
-    return _by_task(rows, lambda values: reached(np.frombuffer(b"".join(values), np.uint64).reshape(len(values), -1), enough))
+    rows_of = lambda values: np.frombuffer(b"".join(values), np.uint64).reshape(len(values), -1)
+    return _links(
+        meetings, classes.select("node", F.col("signature").alias("value")),
+        lambda values: reached(rows_of(values), enough), lambda values, roots, asks: between(rows_of(values), enough, roots, asks),
+    )
 
 
 def exact_links(texts: list[bytes | None], words: int, similarity: float) -> tuple[list[int], list[int]]:
@@ -234,6 +259,32 @@ def exact_links(texts: list[bytes | None], words: int, similarity: float) -> tup
     return order[u].tolist() if u else [], order[v].tolist() if v else []
 
 
+def exact_between(texts: list[bytes | None], words: int, similarity: float, roots: np.ndarray, asks: np.ndarray) -> tuple[list[int], list[int]]:
+    """Links (u, v) from each text that ``asks`` to a text of each other root with a Jaccard similarity of ``similarity`` or more, if it has one among the others."""
+    sets = [np.unique(np.concatenate(list(shingle_hashes((t or b"").lower().split(), words)))) for t in texts]
+    sizes, others = np.array([len(x) for x in sets]), np.flatnonzero(~asks)
+    if not len(others) or not asks.any():
+        return [], []
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    flat = np.concatenate([ids[ends[k] - sizes[k] : ends[k]] for k in others])
+    n = sizes[others]
+    starts = np.concatenate(([0], np.cumsum(n)[:-1]))
+    marked = np.zeros(int(ids.max()) + 1, bool)
+    part, whole = round(similarity * 10**6), 10**6
+    u, v = [], []
+    for x in np.flatnonzero(asks).tolist():
+        own = ids[ends[x] - sizes[x] : ends[x]]
+        marked[own] = True
+        both = np.add.reduceat(marked[flat], starts, dtype=np.int64)
+        marked[own] = False
+        found = others[(both * whole >= (n + sizes[x] - both) * part) & (roots[others] != roots[x])]
+        found = found[np.unique(roots[found], return_index=True)[1]].tolist()
+        u += found
+        v += [x] * len(found)
+    return u, v
+
+
 def similar_links(classes: DataFrame, texts: DataFrame, own: DataFrame, words: int, similarity: float, errors: int = 4) -> DataFrame:
     """Links (u, v) between ``node`` rows of ``classes`` whose texts are similar: all pairs that candidates join are compared.
 
@@ -244,11 +295,12 @@ def similar_links(classes: DataFrame, texts: DataFrame, own: DataFrame, words: i
     wanted = members.join(own, "node")
     sized = texts.join(wanted, ["id", "row"]).select("node", F.col("root").alias("group"), F.col("text").alias("value"))
     sized = common.checkpoint(sized.dropDuplicates(["node"]))
-    groups = sized.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).alias("bytes"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.col("n"), F.ceil(F.col("bytes") / BLOCK_BYTES)), F.lit(1)).cast("int")
-    rows = _dealt(sized.select("group", "node").join(groups.select("group", blocks.alias("blocks")), "group"))
-    rows = rows.join(sized.select("node", "value"), "node").select("task", "node", "value")
-    return _by_task(rows, lambda values: exact_links(values, words, similarity))
+    groups = sized.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).alias("bytes"))
+    members = sized.select("group", "node").join(groups.select("group", _blocks("n", "bytes").alias("blocks")), "group")
+    return _links(
+        members, sized.select("node", "value"),
+        lambda values: exact_links(values, words, similarity), lambda values, roots, asks: exact_between(values, words, similarity, roots, asks),
+    )
 
 
 def without_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, errors: int = 4) -> DataFrame:

@@ -143,6 +143,49 @@ def test_exact_links_against_all_pairs():
     assert group == found and 5 < len(set(group)) < len(texts) - 10
 
 
+def joined(n, links):
+    group = list(range(n))
+    for _ in range(n):
+        for i, j in links:
+            group[i] = group[j] = min(group[i], group[j])
+    return group
+
+
+@pytest.mark.parametrize(("block", "shared"), [(1 << 10, 16), (40, 2), (16, 0), (3, 1)])
+def test_blocks_join_what_all_pairs_join(spark, monkeypatch, block, shared):
+    """One hot group of near copies, chains in it and beside it, and texts like nothing else, all in one group: cut into blocks, nothing is lost."""
+    monkeypatch.setattr(similar, "BLOCK", block)
+    monkeypatch.setattr(similar, "SHARED", max(1, shared))
+    r = random.Random(11)
+    hot = [f"h{j}" for j in range(200)]
+    texts = [changed(r, " ".join(hot), r.randrange(3)) for _ in range(60)]
+    text = [f"c{j}" for j in range(200)]
+    for k in range(15):
+        text = edited(text, 10 * k, 2)
+        texts.append(" ".join(text))
+    texts += [" ".join(f"own{k}x{j}" for j in range(100)) for k in range(10)] + [None]
+    texts.append(texts[0])
+    want = joined(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i] or "", texts[j] or "") >= 0.8])
+    assert 12 < len(set(want)) < 30
+    values = spark.createDataFrame([(k, t and t.encode()) for k, t in enumerate(texts)], "node long, value binary")
+    blocks = -(-len(texts) // block)
+    members = spark.createDataFrame([(1, blocks, k) for k in range(len(texts))], "group long, blocks int, node long").repartition(3)
+    links = similar._links(members, values, lambda v: similar.exact_links(v, 5, 0.8), lambda v, roots, asks: similar.exact_between(v, 5, 0.8, roots, asks))
+    assert joined(len(texts), [(x.u, x.v) for x in links.collect()]) == want
+
+
+def test_between_asks_others_only():
+    import numpy as np
+
+    rows = np.array([[0] * 8, [0] * 8, [2**64 - 1] * 8, [0] * 8], np.uint64)
+    asks, roots = np.array([True, False, False, False]), np.array([0, 1, 2, 1])
+    assert similar.between(rows, 250, roots, asks) == ([1], [0])
+    assert similar.between(rows, 250, np.zeros(4, int), asks) == ([], [])
+    texts = [b"a b c d e f", b"a b c d e f", b"x", None]
+    assert similar.exact_between(texts, 5, 0.8, roots, asks) == ([1], [0])
+    assert similar.exact_between(texts, 5, 0.8, roots, ~asks & False) == ([], [])
+
+
 def test_unlike_texts_with_equal_ids(spark):
     one, two, other = (" ".join(f"{x}{j}" for j in range(100)) for x in "abc")
     near = one.replace("a99", "new")
