@@ -71,9 +71,8 @@ def errors(h: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.linalg.norm(image - q, axis=1)
 
 
-def _areas(z: np.ndarray) -> np.ndarray:
-    """Twice the signed areas (4, k) of the triangles that three of four points (4, k, 2) make: with the fourth in place of each of the first three, and those three."""
-    x, y = z[..., 0], z[..., 1]
+def _areas(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Twice the signed areas (4, k) of the triangles that three of four points (4, k) make: with the fourth in place of each of the first three, and those three."""
 
     def twice(i: int, j: int, k: int) -> np.ndarray:
         return (x[j] - x[i]) * (y[k] - y[i]) - (y[j] - y[i]) * (x[k] - x[i])
@@ -88,15 +87,14 @@ def _sound(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return (np.abs(s).min(axis=0) > 1e-3) & (np.abs(t).min(axis=0) > 1e-3) & alike
 
 
-def _from_four(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Homographies (k, 3, 3), each of some scale, of k samples of four points (4, k, 2).
+def _from_four(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Homographies (k, 3, 3), each of some scale, that take k samples of four points x, y (4, k) to u, v.
 
     The areas of the triangles are the coefficients of the fourth point in the basis of
     the others, on either side, and the homography takes one basis to the other.
     """
-    s, t = _areas(p), _areas(q)
-    (x, y), (u, v) = np.moveaxis(p, 2, 0), np.moveaxis(q, 2, 0)
-    h = np.zeros((9, p.shape[1]))
+    s, t = _areas(x, y), _areas(u, v)
+    h = np.zeros((9, x.shape[1]))
     for k, (i, j) in enumerate(((1, 2), (2, 0), (0, 1))):
         # the basis change, without divisions: coefficient k on the right times the others on the left
         scale = t[k] * s[i] * s[j]
@@ -124,16 +122,26 @@ def _four_of(rng: np.random.Generator, n: int, k: int) -> np.ndarray:
 def _consensus(h: np.ndarray, p: np.ndarray, q: np.ndarray, reach: float) -> np.ndarray:
     """How many points each of ``h`` takes to within ``reach`` of their images; distances are compared times the denominators."""
     x = np.concatenate([p, np.ones((len(p), 1))], axis=1).T.astype(np.float32)
-    m = (h.reshape(-1, 3).astype(np.float32) @ x).reshape(len(h), 3, -1)
-    w = m[:, 2]
-    qx, qy = q.T.astype(np.float32)
-    u, v = m[:, 0] - qx * w, m[:, 1] - qy * w
-    near = u * u + v * v <= np.float32(reach * reach) * (w * w)
-    return np.bitwise_count(np.packbits(near, axis=1)).sum(axis=1, dtype=np.int64)
+    (qx, qy), h = q.T.astype(np.float32), h.reshape(-1, 9).astype(np.float32)
+    step, out = max(1, AT_ONCE // len(p)), []
+    for lo in range(0, len(h), step):
+        # the three rows of each, as tables of samples by points
+        u, v, w = (h[lo : lo + step, 3 * k : 3 * k + 3] @ x for k in range(3))
+        u -= qx * w
+        v -= qy * w
+        u *= u
+        v *= v
+        u += v
+        w *= w
+        w *= np.float32(reach * reach)
+        out.append(np.bitwise_count(np.packbits(u <= w, axis=1)).sum(axis=1, dtype=np.int64))
+    return np.concatenate(out)
 
 
 #: Distances of points and samples that are compared at a time.
 AT_ONCE = 1 << 16
+#: Samples drawn at first, and at a time when they don't suffice.
+FIRST_DRAWS, MOST_DRAWS = 1 << 9, 1 << 13
 
 
 def estimate(p: np.ndarray, q: np.ndarray, config: Ransac = Ransac(), key: str = "") -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
@@ -155,16 +163,19 @@ def estimate(p: np.ndarray, q: np.ndarray, config: Ransac = Ransac(), key: str =
     one = np.ones(n)
     tp, tq = _normaliser(p, one), _normaliser(q, one)
     a, b = _move(tp, p), _move(tq, q)
+    pixels, moved = ([np.ascontiguousarray(c) for z in both for c in z.T] for both in ((p, q), (a, b)))
     reach = config.threshold * tq[0, 0]
     best, most, need, tried, drawn = None, 3, config.max_iters, 0, 0
-    batch = max(64, min(2048, 4 * AT_ONCE // n))
+    batch = FIRST_DRAWS
     while tried < need and drawn < 10 * config.max_iters:
         sample = _four_of(rng, n, batch)
         drawn += batch
-        sample = sample[:, _sound(_areas(p[sample]), _areas(q[sample]))]
+        batch = min(2 * batch, MOST_DRAWS)
+        x, y, u, v = (c.take(sample) for c in pixels)
+        sample = sample[:, _sound(_areas(x, y), _areas(u, v))]
         if not sample.size:
             continue
-        h = _from_four(a[sample], b[sample])
+        h = _from_four(*(c.take(sample) for c in moved))
         near = _consensus(h, a, b, reach)
         tried += sample.shape[1]
         k = int(near.argmax())

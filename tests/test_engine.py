@@ -169,15 +169,15 @@ def test_homography_of_four_points():
     r = np.random.default_rng(6)
     h = np.array([[0.3, -0.02, 20], [0.05, 0.25, 100], [1e-5, -2e-5, 1]])
     p = r.random((4, 50, 2)) * [1919, 1079]
-    q = image(h, p.reshape(-1, 2)).reshape(p.shape)
-    sound = homography._sound(homography._areas(p), homography._areas(q))
+    (x, y), (u, v) = (np.moveaxis(z, 2, 0) for z in (p, image(h, p.reshape(-1, 2)).reshape(p.shape)))
+    sound = homography._sound(homography._areas(x, y), homography._areas(u, v))
     assert sound.sum() > 45
-    for m in homography._from_four(p[:, sound], q[:, sound]):
+    for m in homography._from_four(*(c[:, sound] for c in (x, y, u, v))):
         assert np.allclose(m / m[2, 2], h, rtol=1e-6)
-    mirrored = q * [-1, 1]
     # all triangles turn around in a mirror, and some but not all in a twist
-    assert homography._sound(homography._areas(p), homography._areas(mirrored))[sound].all()
-    assert not homography._sound(homography._areas(p), homography._areas(q[[1, 0, 2, 3]]))[sound].all()
+    assert homography._sound(homography._areas(x, y), homography._areas(-u, v))[sound].all()
+    twist = [1, 0, 2, 3]
+    assert not homography._sound(homography._areas(x, y), homography._areas(u[twist], v[twist]))[sound].all()
 
 
 @pytest.mark.parametrize("n", [100, 511, 512, 2000])
