@@ -24,6 +24,8 @@ from . import common, files
 
 #: Bytes inflated, copied or compressed at a time.
 CHUNK = 1 << 18
+#: Pages that refer to others are broadcast up to this number; a row is about a hundred bytes.
+FEW_REVISITS = 1 << 18
 #: A task starts another archive after so many payload bytes.
 ARCHIVE_BYTES = 256 << 20
 DATE = "2000-01-01T00:00:00Z"
@@ -71,8 +73,9 @@ def decide(pages: DataFrame, min_bytes: int = 0, page_id: str = "page_id", url:
     responses too; a page without id refers to the smallest id, if any page of its
     payload has one; a null payload is an empty one; an empty table gives no rows; other
     columns are ignored. Only digests and ids are aggregated and joined by digest, so a
-    payload of very many pages is a skewed join of small rows; payloads are joined by
-    page and digest, to the pages that refer to others.
+    payload of very many pages is a skewed join of small rows. The pages that refer to
+    others are joined back by page and digest: broadcast if there are few, which is
+    checked, so that payloads stay where they are; else payloads are dealt by page and digest.
     """
     payload = F.coalesce(F.col(html).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload"))
@@ -80,7 +83,9 @@ def decide(pages: DataFrame, min_bytes: int = 0, page_id: str = "page_id", url:
     small = rows.filter(F.octet_length("payload") >= min_bytes).select("page_id", "digest")
     first = small.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     again = small.join(first, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct()
-    again = again.select(F.col("page_id").alias("__page_id"), F.col("digest").alias("__digest"), "refers_to")
+    again = common.checkpoint(again.select(F.col("page_id").alias("__page_id"), F.col("digest").alias("__digest"), "refers_to"))
+    if again.count() <= FEW_REVISITS:
+        again = F.broadcast(again)
     rows = rows.join(again, F.col("page_id").eqNullSafe(F.col("__page_id")) & (F.col("digest") == F.col("__digest")), "left")
     return rows.select("page_id", "url", "payload", "digest", "refers_to")
 

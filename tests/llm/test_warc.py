@@ -74,3 +74,13 @@ def test_broken_streams():
 def test_empty_table(spark):
     manifest = warc.archive_pages(table(spark, []), common.new_folder(spark, "warc"))
     assert warc.read(manifest, ["page_id"]).collect() == []
+
+
+def test_many_revisits_are_joined(spark, monkeypatch):
+    """Beyond the broadcast, pages are joined by page and digest, with the same decisions: ties, nulls and repeated rows too."""
+    rows = PAGES + [(None, "u", "same"), (None, "u", "same"), (7001, "u", "same"), (7001, "u", "same"), (7000, None, "same"), (7002, "u", None), (7003, "u", "")]
+    decide = lambda: sorted(map(str, warc.decide(table(spark, rows).repartition(3)).select("page_id", "digest", "refers_to").collect()))
+    few = decide()
+    monkeypatch.setattr(warc, "FEW_REVISITS", -1)
+    assert decide() == few and len(few) == len(rows)
+    assert sum("refers_to=1)" in x for x in few) == 8
