@@ -28,6 +28,8 @@ def medians(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     # one row for all that is below, and one for each value in the bracket
     value = F.when(F.col("place") == 0, F.col("value"))
     counts = near.filter("place <= 0").groupBy(*key, "n", value.alias("value")).agg(F.count(F.lit(1)).alias("times"))
+    # dealt by the group once, for what follows: a bracket is small
+    counts = counts.repartition(*by)
     upto = F.sum("times").over(Window.partitionBy(*key).orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
     ranked = counts.withColumn("upto", upto).filter("value IS NOT NULL")
     at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("value")))
