@@ -25,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -230,18 +229,19 @@ class Counts:
             yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(keys), x, np.int32)) for x in first), pa.array(keys), pa.array(n)], ["kind", "block", "key", "n"])
 
 
-def some_texts(column: pa.Array) -> Iterator[list[bytes]]:
-    """A column's texts (null: empty), of ``AT_ONCE`` bytes or one at a time."""
-    held, size = [], 0
-    for value in column:
+def some_texts(column: pa.Array, marks: list | None = None) -> Iterator[tuple[list[bytes], object]]:
+    """A column's texts (null: empty), of ``AT_ONCE`` bytes or one at a time, in order; those of one mark together, with the mark."""
+    held, size, mark = [], 0, None
+    for k, value in enumerate(column):
         text = value.as_py() or b""
-        if held and size + len(text) > AT_ONCE:
-            yield held
+        own = marks[k] if marks else None
+        if held and (size + len(text) > AT_ONCE or own != mark):
+            yield held, mark
             held, size = [], 0
         held.append(text)
-        size += len(text)
+        size, mark = size + len(text), own
     if held:
-        yield held
+        yield held, mark
 
 
 class Tree:
@@ -390,19 +390,18 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, doc_id: str = "doc_id",
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, number = (Counts(), Counts()), 0
         for batch in batches:
-            for apart in (False, True):
-                part = batch.filter(pc.equal(batch.column("held_out"), apart))
-                for texts in some_texts(part.column("text")):
-                    found[0].add(word_keys(texts)[0], 1 - apart)
-                    for cells_ in byte_cells(texts, depth):
-                        found[1].add(cells_, 1 - apart)
+            for texts, apart in some_texts(batch.column("text"), batch.column("held_out").to_pylist()):
+                found[0].add(word_keys(texts)[0], 1 - apart)
+                for cells_ in byte_cells(texts, depth):
+                    found[1].add(cells_, 1 - apart)
             if batch.num_rows:
                 number = batch.column("block")[0].as_py()
         for kind in (0, 1):
             yield from found[kind].batches(kind, number)
 
     folder = common.new_folder(spark, "counts")
-    rows.repartitionById(n_blocks, "block").mapInArrow(count, "kind int, block int, key long, n long").write.parquet(folder)
+    # those learned from come together, so that many are counted at a time
+    rows.repartitionById(n_blocks, "block").sortWithinPartitions("held_out").mapInArrow(count, "kind int, block int, key long, n long").write.parquet(folder)
     used = spark.read.parquet(folder)
     used_words, used_cells = used.filter("kind = 0"), used.filter("kind = 1")
     c = used_words.groupBy("key").agg(F.sum("n").alias("c"))
@@ -437,7 +436,7 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, doc_id: str = "doc_id",
             if not known:
                 known = [np.concatenate(x) for x in held]
             at = 0
-            for texts in some_texts(own.column("text")):
+            for texts, _ in some_texts(own.column("text")):
                 rows_ = own.slice(at, len(texts))
                 at += len(texts)
                 keys, n = word_keys(texts)
@@ -461,9 +460,15 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, doc_id: str = "doc_id",
 
 
 def looked_up(wanted: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The value of each wanted key; ``keys`` is sorted and has them all. Each distinct one is searched once."""
+    """The value of each wanted key; ``keys`` is sorted and has them all. Each distinct one is searched once, in order."""
+    if not len(wanted):
+        return np.zeros(0)
     coded = pa.array(wanted).dictionary_encode()
-    return values[np.searchsorted(keys, coded.dictionary.to_numpy())][coded.indices.to_numpy()] if len(wanted) else np.zeros(0)
+    distinct = coded.dictionary.to_numpy()
+    order = np.argsort(distinct)
+    found = np.empty(len(distinct))
+    found[order] = values[np.searchsorted(keys, distinct[order])]
+    return found[coded.indices.to_numpy()]
 
 
 def sums_of(values: np.ndarray, n: np.ndarray) -> np.ndarray:
