@@ -9,10 +9,11 @@ are frozen, and a text's code length is the sum over its bytes.
 
 Contexts are the bytes before, to a fixed depth. All distinct cells (a context and its
 byte) of the corpus are a distributed table, which grows with the texts. It is dealt and
-sorted by the nearest two bytes of context, and the trees below these are made for many
-of them at a time: they give what they have learned to the 256 contexts of one byte,
-whose estimates are broadcast, and then each cell's probability. Blocks of documents
-send their distinct cells there and get these back.
+sorted by the nearest bytes of context, all but two, and the trees below these are made
+for many of them at a time: they give what they have learned to the contexts of one byte
+less, whose estimates are broadcast, and then each cell's probability. So a tree has
+2 ** 24 cells at most, and there are 2 ** 16 contexts to broadcast at most, of which texts
+have some thousands. Blocks of documents send their distinct cells there and get these back.
 
 ``fit`` is the small model for one machine: a context byte counts by its class, of
 which there are 32, so its table is 33 MB at depth 3 whatever the corpus is.
@@ -33,11 +34,11 @@ from pyspark.sql import types as T
 from . import common
 
 CLASSES = 32
-#: Bytes of context, and the most that a cell's 63 bits hold. At 4, the cells below two bytes are 2 ** 24 at most.
-DEPTH, DEEPEST = 4, 6
+#: Bytes of context, and the most that keep trees and broadcast bounded.
+DEPTH, DEEPEST = 4, 5
 #: Bytes whose cells are counted or looked up at a time.
 AT_ONCE = 1 << 19
-#: Cells whose trees are made at a time, or all below two bytes of context.
+#: Cells whose trees are made at a time, or all below the nearest bytes of context.
 CELLS_AT_ONCE = 1 << 20
 #: Bytes of text that are scored together, and their words' counts fetched.
 BLOCK_BYTES = 32 << 20
@@ -213,13 +214,22 @@ class Counts:
         found = pa.array(keys).value_counts()
         self.new.append((found.field(0).to_numpy(), found.field(1).to_numpy() * by))
         self.held += len(self.new[-1][0])
-        if self.held > len(self.keys) + AT_ONCE:
+        if self.held > AT_ONCE:
             self.merge()
 
     def merge(self) -> None:
-        keys, at = np.unique(np.concatenate([self.keys, *(k for k, _ in self.new)]), return_inverse=True)
-        self.n = np.bincount(at, np.concatenate([self.n, *(n for _, n in self.new)]), len(keys)).astype(np.int64)
-        self.keys, self.new, self.held = keys, [], 0
+        """Add what is new in place, so that little is held twice."""
+        if not self.new:
+            return
+        keys, at = np.unique(np.concatenate([k for k, _ in self.new]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n for _, n in self.new]), len(keys)).astype(np.int64)
+        self.new, self.held = [], 0
+        place = np.searchsorted(self.keys, keys)
+        there = place < len(self.keys)
+        there[there] = self.keys[place[there]] == keys[there]
+        self.n[place[there]] += n[there]
+        self.n = np.insert(self.n, place[~there], n[~there])
+        self.keys = np.insert(self.keys, place[~there], keys[~there])
 
     def batches(self, *first: int) -> Iterator[pa.RecordBatch]:
         """Rows of ``first``, key and count, some at a time."""
@@ -244,12 +254,17 @@ def some_texts(column: pa.Array, marks: list | None = None) -> Iterator[tuple[li
         yield held, mark
 
 
+def nearest_bytes(depth: int) -> int:
+    """By how many bytes of context the cells are dealt: two are left below, and never less than two above."""
+    return max(2, depth - 2)
+
+
 class Tree:
-    """The trees of the cells below some contexts of two bytes, one for each prefix of a byte; ``cell`` is sorted and distinct."""
+    """The trees of the cells below some contexts of ``top`` bytes, one for each prefix of a byte; ``cell`` is sorted and distinct."""
 
     def __init__(self, cell: np.ndarray, n: np.ndarray, depth: int) -> None:
-        self.depth, self.keys, self.counts = depth, {depth: cell}, {depth: n.astype(np.float64)}
-        for k in range(depth - 1, 1, -1):
+        self.depth, self.top, self.keys, self.counts = depth, nearest_bytes(depth), {depth: cell}, {depth: n.astype(np.float64)}
+        for k in range(depth - 1, self.top - 1, -1):
             key = self.keys[k + 1] >> 16 << 8 | self.keys[k + 1] & 255
             self.keys[k], at = np.unique(key, return_inverse=True)
             self.counts[k] = np.bincount(at, self.counts[k + 1], len(self.keys[k]))
@@ -257,14 +272,14 @@ class Tree:
     def level(self, bits: int) -> tuple[dict, ...]:
         """By depth, for the prefixes of so many bits: nodes, their decisions, their parents' places, weighted logs, and shares of the own estimate."""
         ids, seen, up, weighted, stops = {}, {}, {}, {}, {}
-        for k in range(2, self.depth + 1):
+        for k in range(self.top, self.depth + 1):
             node = self.keys[k] >> (8 - bits)
             starts = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
             ones = np.add.reduceat(self.counts[k] * (self.keys[k] >> (7 - bits) & 1), starts)
             ids[k], seen[k] = node[starts], np.stack((np.add.reduceat(self.counts[k], starts) - ones, ones), axis=-1)
-            if k > 2:
+            if k > self.top:
                 up[k] = np.searchsorted(ids[k - 1], ids[k] >> (8 + bits) << bits | ids[k] & ((1 << bits) - 1))
-        for k in range(self.depth, 1, -1):
+        for k in range(self.depth, self.top - 1, -1):
             own = kt_log(seen[k])
             if k == self.depth:
                 weighted[k] = own
@@ -273,23 +288,30 @@ class Tree:
                 stops[k] = np.exp(own + math.log(0.5) - weighted[k])
         return ids, seen, up, weighted, stops
 
+    def above(self, bits: int, ids: dict) -> tuple[np.ndarray, np.ndarray]:
+        """The context of one byte less of each topmost node, and its prefix as numbered in a heap."""
+        return ids[self.top] >> (bits + 8), 1 << bits | ids[self.top] & ((1 << bits) - 1)
+
     def learned(self) -> pa.RecordBatch:
-        """What the contexts of two bytes give to those of one: ``first``, ``prefix``, ``zeros``, ``ones`` and ``below``."""
+        """What the topmost contexts give to those of one byte less: ``context``, ``prefix``, ``zeros``, ``ones`` and ``below``, a row for each of these."""
         parts = []
         for bits in range(8):
             ids, seen, _, weighted, _ = self.level(bits)
-            parts.append((ids[2] >> (bits + 8), 1 << bits | ids[2] & ((1 << bits) - 1), seen[2][:, 0], seen[2][:, 1], weighted[2]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["first", "prefix", "zeros", "ones", "below"])
+            parts.append((*self.above(bits, ids), seen[self.top][:, 0], seen[self.top][:, 1], weighted[self.top]))
+        context, prefix, *sums = (np.concatenate(x) for x in zip(*parts, strict=True))
+        key, at = np.unique(context << 8 | prefix, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(key >> 8), pa.array(key & 255), *(pa.array(np.bincount(at, x, len(key))) for x in sums)], ["context", "prefix", "zeros", "ones", "below"])
 
-    def logs(self, known: np.ndarray, rest: np.ndarray) -> np.ndarray:
-        """Each cell's log10 probability; ``known`` and ``rest`` [first, prefix] are the shallow estimates' part and the share left."""
+    def logs(self, contexts: np.ndarray, known: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Each cell's log10 probability; ``known`` and ``rest`` [context, prefix] are the part of the estimates above and the share left."""
         out = np.zeros(len(self.keys[self.depth]))
         for bits in range(8):
             ids, seen, up, _, stops = self.level(bits)
-            at = ids[2] >> (bits + 8), 1 << bits | ids[2] & ((1 << bits) - 1)
+            context, prefix = self.above(bits, ids)
+            at = np.searchsorted(contexts, context), prefix
             p, share = known[at], rest[at]
-            for k in range(2, self.depth + 1):
-                if k > 2:
+            for k in range(self.top, self.depth + 1):
+                if k > self.top:
                     p, share = p[up[k]], share[up[k]]
                 here = (seen[k][:, 1] + 0.5) / (seen[k].sum(axis=-1) + 1)
                 stop = stops.get(k, 1.0)
@@ -300,50 +322,54 @@ class Tree:
         return out
 
 
-def shallow(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """``known`` and ``rest`` of ``Tree.logs`` from the sums of ``Tree.learned`` by first and prefix: 256 * 255 rows at most."""
-    seen, below = np.zeros((256, 256, 2)), np.zeros((256, 256))
-    at = found["first"].to_numpy(), found["prefix"].to_numpy()
+def shallow(found: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The contexts of ``length`` bytes (one or two) that there are, and ``known`` and ``rest`` of ``Tree.logs`` for them, from the sums of ``Tree.learned``."""
+    contexts, at = np.unique(found["context"].to_numpy(), return_inverse=True)
+    seen, below = np.zeros((len(contexts), 256, 2)), np.zeros((len(contexts), 256))
+    at = at, found["prefix"].to_numpy()
     seen[at] = np.stack((found["zeros"].to_numpy(), found["ones"].to_numpy()), axis=-1)
     below[at] = found["below"].to_numpy()
+    # from the longest contexts to none: decisions, own and weighted logs, and each one's parent
+    levels, names = [], contexts
+    for _ in range(length + 1):
+        own = kt_log(seen)
+        weighted = np.logaddexp(own, below) + math.log(0.5)
+        names, up = np.unique(names >> 8, return_inverse=True)
+        levels.append((seen, own, weighted, up))
+        used = np.where(seen.sum(axis=-1) > 0, weighted, 0)
+        sums = np.zeros((len(names), 256, 2)), np.zeros((len(names), 256))
+        np.add.at(sums[0], up, seen)
+        np.add.at(sums[1], up, used)
+        seen, below = sums
     known, rest = np.zeros((1, 256)), np.ones((1, 256))
-    own = kt_log(seen)
-    weighted = np.logaddexp(own, below) + math.log(0.5)
-    none = seen.sum(axis=0, keepdims=True)
-    top = kt_log(none)
-    whole = np.logaddexp(top, weighted_seen(weighted, seen)) + math.log(0.5)
-    for n, mine, all_ in ((none, top, whole), (seen, own, weighted)):
-        stop = np.exp(mine + math.log(0.5) - all_)
-        known = known + rest * stop * (n[..., 1] + 0.5) / (n.sum(axis=-1) + 1)
-        rest = rest * (1 - stop)
-    return known, rest
-
-
-def weighted_seen(weighted: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """The children's weighted logs together; one that has seen nothing has 0."""
-    return np.where(seen.sum(axis=-1) > 0, weighted, 0).sum(axis=0, keepdims=True)
+    for seen, own, weighted, up in reversed(levels):
+        stop = np.exp(own + math.log(0.5) - weighted)
+        known = known[up] + rest[up] * stop * (seen[..., 1] + 0.5) / (seen.sum(axis=-1) + 1)
+        rest = rest[up] * (1 - stop)
+    return contexts, known, rest
 
 
 def cell_logs(counted: DataFrame, depth: int) -> DataFrame:
     """``cell`` and ``p`` (log10) from the distinct cells (cell, n) of a corpus."""
-    rows = counted.select("cell", "n", F.shiftright("cell", 8 * (depth - 1)).alias("two"))
-    rows = common.checkpoint(rows.repartition("two").sortWithinPartitions("cell"))
+    top = nearest_bytes(depth)
+    rows = counted.select("cell", "n", F.shiftright("cell", 8 * (depth + 1 - top)).alias("nearest"))
+    rows = common.checkpoint(rows.repartition("nearest").sortWithinPartitions("cell"))
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[Tree]:
-        for part in common.whole_groups(batches, "two", CELLS_AT_ONCE):
+        for part in common.whole_groups(batches, "nearest", CELLS_AT_ONCE):
             yield Tree(part["cell"].to_numpy(), part["n"].to_numpy(), depth)
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in trees(batches):
             yield t.learned()
 
-    below = rows.mapInArrow(learned, "first long, prefix long, zeros double, ones double, below double")
-    sums = below.groupBy("first", "prefix").agg(*(F.sum(x).alias(x) for x in ("zeros", "ones", "below")))
-    top = counted.sparkSession.sparkContext.broadcast(shallow(sums.toArrow()))
+    below = rows.mapInArrow(learned, "context long, prefix long, zeros double, ones double, below double")
+    sums = below.groupBy("context", "prefix").agg(*(F.sum(x).alias(x) for x in ("zeros", "ones", "below")))
+    above = counted.sparkSession.sparkContext.broadcast(shallow(sums.toArrow(), top - 1))
 
     def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in trees(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(t.keys[depth]), pa.array(t.logs(*top.value))], ["cell", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array(t.keys[depth]), pa.array(t.logs(*above.value))], ["cell", "p"])
 
     return rows.mapInArrow(logs, "cell long, p double")
 
@@ -371,7 +397,7 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, doc_id: str = "doc_id",
     corpus, so it isn't broadcast. Documents are dealt to blocks of some 32 MB, each a
     partition that is streamed through; a block sends a row for each distinct word to the
     word's count, and gets it back before its documents; so it does for each distinct cell
-    of ``depth`` (2 to 6) bytes of context. Words are known by their XXH64, so two words
+    of ``depth`` (2 to 5) bytes of context. Words are known by their XXH64, so two words
     that share it would count as one. Counts are aggregated first and then joined, so that
     a word of every block is a skewed join, which Spark splits. The end that each text has
     is counted apart.
@@ -384,7 +410,7 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, doc_id: str = "doc_id",
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     rows = rows.withColumn("held_out", held_out(F.col("doc_id")))
     size, n_ends = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held_out"))).first()
-    n_blocks = max(size // block_bytes, min(spark.sparkContext.defaultParallelism, size >> 20)) + 1
+    n_blocks = size // block_bytes + 1
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
