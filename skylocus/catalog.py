@@ -315,13 +315,18 @@ def mutual_nn(spark, sf_dir):
     return out.withColumn("score", F.round("score", 4))
 
 
-@query()
-def ransac_fit(spark, sf_dir):
+def fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The homography of each pair's points, a third of which are strays."""
     x, y = G.project_or_origin(_h(), F.col("x0"), F.col("y0"))
     stray = F.col("idx") % 3 == 0
     t = B.points(spark, sf_dir).withColumn("x1", F.when(stray, F.col("idx") * 37 % 512).otherwise(x + F.col("dx"))).withColumn("y1", F.when(stray, F.col("idx") * 91 % 512).otherwise(y + F.col("dy")))
-    out = homography.homographies(t, ["pair"])
+    return homography.homographies(t, ["pair"])
+
+
+@query()
+def ransac_fit(spark, sf_dir):
+    """``fits``, rounded."""
+    out = fits(spark, sf_dir)
     return out.select("pair", "matches", "inliers", F.round("reproj_mean", 6).alias("reproj_mean"), *[F.round(G.entry(F.col("h"), k // 3, k % 3), 6).alias(f"h{k}") for k in range(9)])
 
 

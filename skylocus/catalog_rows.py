@@ -6,8 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from skylocus.catalog import _RANKED, DIAG, _diagnosed, _evaluated, _grid_sql, flagship, query
-from skylocus.catalog import ransac_fit as _ransac_fit
+from skylocus.catalog import _RANKED, DIAG, _diagnosed, _evaluated, _grid_sql, fits, flagship, query
 from skylocus.functions import geometry as G
 from skylocus.functions import names
 from skylocus.operators import imaging, integrity, matching, scoring, tiling
@@ -223,8 +222,7 @@ def flagship_places(spark, sf_dir):
 @query(f"""WITH {B.PTS} SELECT pair, count(*) AS matches, count(*) FILTER (idx % 3 <> 0 AND sqrt(dx * dx + dy * dy) <= 18e-1) >= 4 AS found, true AS corners_within_two FROM errs GROUP BY pair""")
 def ransac_places(spark, sf_dir):
     """Whether the robust fit takes each pair's corners to where the known homography does, to two pixels."""
-    fits = _ransac_fit(spark, sf_dir)
-    h = F.array(*[F.col(f"h{k}") for k in range(9)])
+    h = F.col("h")
     known = F.array(*[F.lit(x) for x in B.H])
     off = []
     # in the middle of the points, which span a fifth of the frame
@@ -232,7 +230,7 @@ def ransac_places(spark, sf_dir):
         u, v = G.project(h, F.lit(x), F.lit(y))
         a, b = G.project(known, F.lit(x), F.lit(y))
         off.append(G.distance(u, v, a, b))
-    return fits.select("pair", "matches", F.col("h0").isNotNull().alias("found"), (F.greatest(*off) < 2).alias("corners_within_two"))
+    return fits(spark, sf_dir).select("pair", "matches", h.isNotNull().alias("found"), (F.greatest(*off) < 2).alias("corners_within_two"))
 
 
 @query("""WITH e AS (SELECT vec_id // 200 AS image, count(*) AS n FROM embeddings GROUP BY 1) SELECT image, n AS matches, n AS same FROM e""")

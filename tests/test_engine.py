@@ -194,6 +194,23 @@ def test_consensus_is_that_of_all_samples(n):
     assert mask.sum() >= 0.99 * best
 
 
+@pytest.mark.parametrize("seed", [5830, 4987])
+def test_refits_reach_all_true_points(seed):
+    """The best sample's inliers are some of the true points only, and refits on those alone stay there."""
+    true, p, q, _ = noisy(60, 0.4, seed, 1.0)
+    h, _, _ = homography.estimate(p, q)
+    corners = np.array([[480, 270], [1440, 270], [1440, 810], [480, 810.0]])
+    assert np.abs(image(h, corners) - image(true, corners)).max() < 2
+
+
+def test_refit_may_lose_a_stray():
+    """A sample that a stray agrees with by chance isn't kept for that."""
+    true, p, q, _ = noisy(100, 0.25, 4882)
+    h, _, _ = homography.estimate(p, q)
+    centre = np.array([[959.5, 539.5]])
+    assert np.abs(image(h, centre) - image(true, centre)).max() < 0.5
+
+
 def test_groups_and_rows_agree(spark):
     _, p, q, _ = noisy(60, 0.3, 4)
     rows = [("f", f"t{t}", k, *p[k].tolist(), *q[k].tolist()) for t in range(3) for k in range(60 if t < 2 else 3)]
