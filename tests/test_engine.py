@@ -227,6 +227,14 @@ def test_groups_and_rows_agree(spark):
     assert nothing.h is None and nothing.matches == 0
 
 
+def test_made_matches_have_the_share_of_strays(spark):
+    true = np.array([[0.27, -0.02, 20], [0.02, 0.27, 110], [0, 0, 1.0]])
+    pairs = spark.range(40).select(F.concat(F.lit("f"), "id").alias("frame_id"), F.lit("t").alias("tile_id"), F.col("id").alias("noise"), F.array(*[F.lit(x) for x in true.ravel().tolist()]).alias("h"))
+    for r in matching.oracle(pairs, n_points=100, outliers=0.25).collect():
+        off = np.abs(image(true, np.column_stack([r.x0, r.y0])) - np.column_stack([r.x1, r.y1])).max(axis=1)
+        assert (off < 1e-9).sum() == 75
+
+
 def test_mutual_nn(spark):
     r = np.random.default_rng(4)
     a, b = r.normal(size=(40, 8)), r.normal(size=(50, 8))
