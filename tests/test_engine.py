@@ -194,6 +194,36 @@ def test_consensus_is_that_of_all_samples(n):
     assert mask.sum() >= 0.99 * best
 
 
+def test_pairs_share_their_samples(monkeypatch):
+    """Noise takes all iterations; drawing for them is done once for many pairs of as many points."""
+    r = np.random.default_rng(8)
+    pairs = [(r.random((90, 2)) * [1919, 1079], r.random((90, 2)) * 511) for _ in range(3)]
+    found = [homography.estimate(p, q)[1].sum() for p, q in pairs]
+    drawn, draw = [], homography._four_of
+    monkeypatch.setattr(homography, "_four_of", lambda *a: drawn.append(a) or draw(*a))
+    assert [homography.estimate(p, q)[1].sum() for p, q in pairs] == found
+    assert not drawn
+    homography.estimate(*pairs[0], homography.Ransac(seed=None))
+    assert drawn
+
+
+@pytest.mark.parametrize("n", [40, 300])
+def test_consensus_counts_points_within_reach(n):
+    """Looking at strips first leaves out none of the best."""
+    _, p, q, _ = noisy(n, 0.5, n)
+    r = np.random.default_rng(n)
+    h = []
+    while len(h) < 700:
+        four = r.choice(n, 4, replace=False)
+        m = homography.fit(p[four], q[four])
+        h += [m] if m is not None else []
+    a, b = p / 1000, q / 1000
+    scaled = np.array([np.diag([1e-3, 1e-3, 1]) @ m @ np.diag([1e3, 1e3, 1]) for m in h])
+    got = homography._consensus(scaled / np.abs(scaled).max(axis=(1, 2), keepdims=True), homography._point_rows(a, b, 0.003), [])
+    want = sorted((int((homography.errors(m, p, q) <= 3).sum()) for m in h), reverse=True)
+    assert [count for count, _ in got] == [w for w in want[: homography.KEPT] if w >= homography.BY_CHANCE or w == want[0]]
+
+
 @pytest.mark.parametrize("seed", [5830, 4987])
 def test_refits_reach_all_true_points(seed):
     """The best sample's inliers are some of the true points only, and refits on those alone stay there."""
